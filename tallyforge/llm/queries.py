@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixity, mixing, urls
-from .shared import table
+from . import fixity, language, mixing, toxicity, urls
+from .shared import held_out, in_training, table
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -56,6 +56,19 @@ FROM o WINDOW w AS (PARTITION BY shard ORDER BY page_id ROWS UNBOUNDED PRECEDING
 """
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_languages(docs.where(in_training(F.col("doc_id"))))
+    return language.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = in_training(F.col("doc_id"))
+    model = toxicity.fit_toxicity(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "distinct_soft_hits")
@@ -106,5 +119,5 @@ WITH best AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
 """
 
-QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op6_url_filter": op6_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op10_mix_sources": op10_mix_sources}
 SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10}

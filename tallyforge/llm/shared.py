@@ -105,3 +105,14 @@ def word_hashes(text: str) -> np.ndarray:
     h = prefix_hash(raw)
     _, inverse = powers(len(raw) + 1)
     return mix64((h[end] - h[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def hash_unit(*cols: Column) -> Column:
+    """A number in [0, 1) that depends on the columns' values only."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+
+
+def label_sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
+    """About per_label rows of each label (all, if it has fewer), chosen by a hash of key: for fitting models only."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("_rate"))
+    return rows.join(small_side(counts, 10_000), label).where(hash_unit(F.lit("sample"), F.col(key)) < F.col("_rate")).drop("_rate")
