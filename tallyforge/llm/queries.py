@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixity, language, mixing, toxicity, urls
+from . import decontamination, fixity, language, mixing, neighbours, toxicity, urls
 from .shared import held_out, in_training, table
 
 RULES = (
@@ -56,6 +56,12 @@ FROM o WINDOW w AS (PARTITION BY shard ORDER BY page_id ROWS UNBOUNDED PRECEDING
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("hits", lambda h: h.item_id))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), items.alias("item_ids"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit_languages(docs.where(in_training(F.col("doc_id"))))
@@ -97,9 +103,12 @@ FROM q
 """
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.label_quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels"))
-    return mixing.mix_sources(docs, F.col("_quality")).drop("source")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.label_quality(table(spark, sf_dir, "labels"))).drop("source")
 
 
 SQL10 = r"""
@@ -119,5 +128,5 @@ WITH best AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
 """
 
-QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources}
 SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10}
