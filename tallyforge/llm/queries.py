@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fixity, language, mixing, neighbours, toxicity, urls
+from . import decontamination, fixity, language, mixing, near_dup, neighbours, toxicity, urls
 from .shared import held_out, in_training, table
 
 RULES = (
@@ -103,6 +103,10 @@ FROM q
 """
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -128,5 +132,5 @@ WITH best AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
 """
 
-QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources}
 SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10}
