@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fixity, language, mixing, near_dup, neighbours, suffix_dedup, toxicity, urls
+from . import decontamination, fixity, language, mixing, near_dup, neighbours, pii, suffix_dedup, toxicity, urls
 from .shared import held_out, in_training, table
 
 RULES = (
@@ -60,6 +60,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_private(docs, pii.fit_tagger(docs)).drop("text", "found")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform("hits", lambda h: h.item_id))
@@ -136,5 +141,5 @@ WITH best AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
 """
 
-QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op3_private_data": op3_private_data, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources}
 SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10}
