@@ -1,4 +1,6 @@
 """Registered queries."""
 
-QUERIES = {}
-SQL = {}
+from .plans import runs, scoring, wording
+
+QUERIES = scoring.QUERIES | wording.QUERIES | runs.QUERIES
+SQL = scoring.SQL | wording.SQL | runs.SQL
