@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import programs as P
 from ..operators import state as S
 from ..sources import corpus, provider
 from . import views as V
@@ -114,3 +115,62 @@ def progress(spark, sf_dir):
     phase = F.when(F.col("event_id") % 3 == 1, "generate").when(F.col("event_id") % 3 == 2, "evaluate")
     done = e.select(F.get(F.array(*map(F.lit, _RUN)), (F.col("event_id") % 5).cast("int")).alias("stage"), phase.alias("phase"), F.col("user_id").alias("task"))
     return S.progress(done, 20000).withColumn("phase", F.coalesce("phase", F.lit("")))
+
+
+# Programs: a handful of tasks as a corpus has them.
+TASKS = [
+    ("Bench/0", "def add(a: int, b: int) -> int:\n    \"\"\"Add.\"\"\"\n", "    return a + b\n", "def check(candidate):\n    assert candidate(1, 2) == 3\n    assert candidate(-1, 1) == 0\n", "add"),
+    ("Bench/1", "def clamp(x: int, low: int, high: int) -> int:\n    \"\"\"Clamp x.\"\"\"\n", "    if x < low:\n        return low\n    if x > high:\n        return high\n    return x\n", "def check(candidate):\n    assert candidate(5, 0, 3) == 3\n    assert candidate(-5, 0, 3) == 0\n    assert clamp(1, 0, 3) == 1\n", "clamp"),
+    ("Bench/2", "from typing import List\n\n\ndef total(xs: List[int]) -> int:\n    \"\"\"Sum of squares, modulo 97.\"\"\"\n", "    s = 0\n    for x in xs:\n        s = (s + x * x) % 97\n    return s\n", "def check(candidate):\n    assert candidate([1, 2]) == 5\n    assert candidate([]) == 0\n", "total"),
+    ("Bench/3", "def shout(s: str) -> str:\n    \"\"\"Upper case.\"\"\"\n", "    t = s.upper()\n    return t\n", "def check(candidate):\n    assert candidate('a') == 'A'\n", "shout"),
+]
+
+
+def task_frame(spark):
+    return spark.createDataFrame(TASKS, corpus.TASK)
+
+
+def _mutants(operator):
+    def run(spark, sf_dir):
+        return P.mutant_table(task_frame(spark), [operator]).select("task_id", "mutant_id", "description", "code")
+
+    return run
+
+
+for _operator in P.OPERATORS:
+    QUERIES[f"mutants_{_operator.lower()}"] = _mutants(_operator)
+
+
+@query()
+def mutant_counts(spark, sf_dir):
+    return P.mutant_table(task_frame(spark)).groupBy("task_id", "operator").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def mutants_fallback(spark, sf_dir):
+    return P.fallback_table(task_frame(spark))
+
+
+@query()
+def fuzz_inputs(spark, sf_dir):
+    return P.input_table(task_frame(spark), 20)
+
+
+@query()
+def sandbox_run(spark, sf_dir):
+    """Kill tests: every mutant against its task's suite."""
+    tasks = task_frame(spark)
+    programs = P.mutant_table(tasks).join(tasks.select("task_id", F.concat("test", F.lit("\ncheck("), "entry_point", F.lit(")\n")).alias("test")), "task_id")
+    ran = P.run_programs(programs.withColumnRenamed("code", "solution").repartition(8, "task_id", "mutant_id"), timeout=5.0)
+    return ran.select("task_id", "mutant_id", "operator", (~F.col("passed")).alias("is_killed"), "timed_out")
+
+
+@query()
+def degraded_suites(spark, sf_dir):
+    return P.degraded_suites(task_frame(spark), V.LEVELS)
+
+
+@query()
+def mutant_equivalence(spark, sf_dir):
+    tasks = task_frame(spark)
+    return P.judge_mutants(tasks, P.mutant_table(tasks), n_inputs=6, timeout=5.0)
