@@ -76,9 +76,10 @@ def merkle_audit(primary: DataFrame, replica: DataFrame, *, id_col: str = "page_
     sides = [materialize(leaves(t, id_col, url_col, body_col), "leaves") for t in (primary, replica)]
     ranges = [materialize(parents(x, ["shard", "range"], "slot"), "ranges") for x in sides]
     shards = [parents(x, ["shard"], "range") for x in ranges]
-    roots = [parents(x.withColumn("root", F.lit("/")), ["root"], "shard") for x in shards]
-    bad_root = descend(["root"], *roots)
-    bad_shards = materialize(descend(["shard"], *[within(x.withColumn("root", F.lit("/")), bad_root, ["root"]).drop("root") for x in shards]), "bad-shards")
+    shards = [materialize(x, "shards") for x in shards]
+    roots = [parents(x.withColumn("root", F.lit("/")), ["root"], "shard").collect() for x in shards]  # a row each
+    sides_differ = roots[0] != roots[1]
+    bad_shards = materialize(descend(["shard"], *[x if sides_differ else x.limit(0) for x in shards]), "bad-shards")
     bad_ranges = materialize(descend(["shard", "range"], *[within(x, bad_shards, ["shard"]) for x in ranges]), "bad-ranges")
     left, right = (within(x, bad_ranges, ["shard", "range"]) for x in sides)
     pairs = left.alias("l").join(right.alias("r"), F.col("l.slot").eqNullSafe(F.col("r.slot")), "full").where(~F.col("l.digest").eqNullSafe(F.col("r.digest")))
