@@ -198,7 +198,7 @@ def run_rows(parts: int, batch: int = 4 << 20):
             shared, rests, lengths = front_code([k[0] for k in keys])
             columns = {"shared": shared, "lengths": lengths, "right": [k[1] for k in keys], "least": [k[2] for k in keys], "most": [k[3] for k in keys], "times": [len(held[k]) for k in keys]}
             where = np.array([w for k in keys for w in held[k]], np.int64)
-            out.append({"part": part, "rests": rests} | {c: np.asarray(columns[c], kind).tobytes() for c, kind in FIELDS} | {c: where[:, i].tobytes() for i, c in enumerate(("doc", "text_hash", "place"))})
+            out.append({"part": part, "rests": zlib.compress(rests, 1)} | {c: np.asarray(columns[c], kind).tobytes() for c, kind in FIELDS} | {c: where[:, i].tobytes() for i, c in enumerate(("doc", "text_hash", "place"))})
         return pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
 
     return rows
@@ -209,7 +209,7 @@ def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     data = [{c: np.frombuffer(row[c], kind) for c, kind in FIELDS} | {c: np.frombuffer(row[c], np.int64) for c in ("doc", "text_hash", "place")} for row in pdf.to_dict("records")]
     at = [0] * len(data)
     run, index, shared, strings = [], [], [], []
-    for r, n, s in merged([front_decoded(d["shared"], rests, d["lengths"]) for d, rests in zip(data, pdf["rests"], strict=True)]):
+    for r, n, s in merged([front_decoded(d["shared"], rests, d["lengths"]) for d, rests in zip(data, map(zlib.decompress, pdf["rests"]), strict=True)]):
         run.append(r)
         index.append(at[r])
         at[r] += 1
@@ -301,7 +301,8 @@ def remove_repeats(docs: DataFrame, *, part_rows: int = 30_000) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     long = keyed.where(F.octet_length("text") >= SIZE)
     found = materialize(long.select("doc", "text_hash", "text").mapInPandas(anchor_rows, "doc bigint, text_hash bigint, gram bigint, place int, least smallint, most smallint"), "anchors")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
+    # written first, so that the join below reads plain exchanges and can split a common gram's rows
+    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram"), "grams")
     candidates = materialize(found.join(twice, "gram", "left_semi").select("doc", "text_hash", F.struct("place", "least", "most").alias("anchor")), "candidates")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // part_rows))
     by_doc = candidates.groupBy("doc", "text_hash").agg(F.collect_list("anchor").alias("found"))
