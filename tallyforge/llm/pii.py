@@ -344,9 +344,12 @@ def training_windows(texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarr
 
 
 def fit_tagger(docs: DataFrame, *, sample: int = 400, windows: int = 600, steps: int = 150, most_chars: int = 20_000) -> Tagger | None:
-    """Learns from up to `sample` documents with digits or at signs and at most most_chars characters, chosen by a hash of text. None without spans."""
-    usable = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars)).select("text", hash_unit(F.lit("tagger"), F.col("text")).alias("u"))
-    texts = [r.text for r in usable.orderBy("u", "text").limit(sample).collect()]
+    """Learns from about `sample` documents (twice that at most) with digits or at signs and at most most_chars characters, chosen by a hash of doc_id. None
+    without spans."""
+    usable = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars))
+    n = usable.count()
+    chosen = usable.where(hash_unit(F.lit("tagger"), F.col("doc_id")) < sample / max(n, 1)) if n > sample else usable
+    texts = sorted(r.text for r in chosen.select("text").limit(2 * sample).collect())
     x, y = training_windows(texts, windows)
     if not len(x):
         return None
