@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_unit, materialize
+from .shared import hash_unit, materialize, small_side
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -54,30 +54,30 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, *, steps: int =
     return w, float(b)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, unlabelled: int = 6000, n_words: int = 1000) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, unlabelled: int = 6000, n_words: int = 1000, least_errors: float = 4.0) -> Model:
     """Learns from about `positives` documents labelled toxic and `unlabelled` ones without that label, chosen by a hash of doc_id.
 
     The class prior is the share of label 1 among the labelled rows. Of a document with several labels the highest counts. The n_words
-    words whose document shares in the two samples differ most, in standard errors, are the features. Without any positive
+    words whose document shares in the two samples differ most, by least_errors standard errors or more, are the features. Without any positive
     or unlabelled document the model scores the prior (0.5 if there are no labels) everywhere.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
-    tagged = docs.select("doc_id", "text").join(one, "doc_id", "left")
-    n = docs.select("doc_id").join(one, "doc_id", "left").agg(F.count_if("_toxic"), F.count("_toxic"), F.count(F.lit(1)) - F.count_if("_toxic")).first()
+    tagged = docs.select("doc_id").join(one, "doc_id", "left").withColumn("positive", F.coalesce("_toxic", F.lit(False)))
+    n = tagged.agg(F.count_if("positive"), F.count("_toxic"), F.count_if(~F.col("positive"))).first()
     n_pos, n_labelled, n_rest = (x or 0 for x in n)
     prior = float(np.clip(n_pos / n_labelled, 0.001, 0.999)) if n_labelled else 0.5
     if not n_pos or not n_rest:
         return Model({}, float(np.log(prior / (1 - prior))))
-    # unlabelled: any document not known to be toxic, and toxic ones as often as the prior says
     unit = hash_unit(F.lit("toxicity"), F.col("doc_id"))
-    is_pos = F.coalesce(F.col("_toxic"), F.lit(False))
-    chosen = tagged.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (unit < F.when(is_pos, positives / n_pos).otherwise(unlabelled / n_rest)))
+    chosen = tagged.where(F.col("doc_id").isNotNull() & (unit < F.when(F.col("positive"), positives / n_pos).otherwise(unlabelled / n_rest)))
+    # ids are chosen before texts are read, and as few as the sample has; beyond twice that they aren't broadcast
+    ids = small_side(materialize(chosen.select("doc_id", "positive").distinct(), "toxicity-ids"), 2 * (positives + unlabelled))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "positive": pdf["positive"], "words": [sorted(words(t)) for t in pdf["text"]]})
 
-    sample = materialize(chosen.select("doc_id", is_pos.alias("positive"), "text").mapInPandas(split, "doc_id long, positive boolean, words array<string>"), "toxicity-sample")
+    sample = materialize(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id").select("doc_id", "positive", "text").mapInPandas(split, "doc_id long, positive boolean, words array<string>"), "toxicity-sample")
     sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     a, b = sizes.get(True, 0), sizes.get(False, 0)
     if not a or not b:
@@ -85,7 +85,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, u
     p1, p0, p = F.col("a") / a, F.col("b") / b, (F.col("a") + F.col("b") + 0.5) / (a + b + 1)
     strength = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / a + 1 / b))
     counts = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b"))
-    vocabulary = [r.word for r in counts.where("a + b >= 4").orderBy(F.desc(strength), "word").limit(n_words).collect()]
+    vocabulary = [r.word for r in counts.where((F.col("a") + F.col("b") >= 4) & (strength >= least_errors)).orderBy(F.desc(strength), "word").limit(n_words).collect()]
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
