@@ -26,6 +26,9 @@ SIMILARITY = 0.8
 ROUNDS = 3
 #: So many different texts may head the sketches of one group; each pair with a head is judged once.
 ORDERS = 3
+#: Texts of a block, and of a tile within it, when a group's texts are judged all with all.
+BLOCK = 512
+TILE = 128
 _seeds = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -214,6 +217,78 @@ def alike(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def shared_words(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """common_words of each of left with each of right."""
+
+    def labelled(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([occurrence_labels(r.astype(np.uint64)) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    (x, x_row), (y, y_row) = labelled(left), labelled(right)
+    both = np.intersect1d(x, y)
+    keep_x, keep_y = np.isin(x, both), np.isin(y, both)
+    x, x_row, y, y_row = np.searchsorted(both, x[keep_x]), x_row[keep_x], np.searchsorted(both, y[keep_y]), y_row[keep_y]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), columns):
+        width = min(columns, len(both) - at)
+        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        in_x, in_y = (x >= at) & (x < at + width), (y >= at) & (y < at + width)
+        a[x_row[in_x], x[in_x] - at] = 1
+        b[y_row[in_y], y[in_y] - at] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def block_links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[bytes, bytes]]:
+    """Links (roots) between texts of two blocks (root, words), or within one: all pairs are judged but those that links connect already."""
+    roots, root = np.unique(np.concatenate([left["root"], right["root"]]), return_inverse=True)
+    label = np.arange(len(roots))
+    words = [[np.frombuffer(w, np.uint32) for w in side["words"]] for side in (left, right)]
+    at = [root[: len(left)], root[len(left) :]]
+    found = []
+    for i in range(0, len(left), TILE):
+        for j in range(i if same else 0, len(right), TILE):
+            a, b = words[0][i : i + TILE], words[1][j : j + TILE]
+            root_a, root_b = at[0][i : i + TILE], at[1][j : j + TILE]
+            size_a, size_b = np.array([len(w) for w in a])[:, None], np.array([len(w) for w in b])[None, :]
+            longer = np.maximum(size_a, size_b)
+            bound = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+            fit = (np.abs(size_a - size_b) <= bound) & (label[root_a][:, None] != label[root_b][None, :])
+            if not fit.any():
+                continue
+            for m, n in zip(*np.nonzero(fit & (shared_words(a, b) >= longer - bound)), strict=True):
+                if label[root_a[m]] == label[root_b[n]] or (same and i == j and m >= n):
+                    continue
+                if anchored_edits(a[m], b[n]) <= bound[m, n] or edit_distance(a[m], b[n], int(bound[m, n])) is not None:
+                    found.append((roots[root_a[m]], roots[root_b[n]]))
+                    label[label == label[root_b[n]]] = label[root_a[m]]
+    return found
+
+
+def remaining_links(grouped: DataFrame, roots: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The links that heads leave out: columns a and b, roots of different components. grouped: band, sketch, head, node, without the heads' own rows.
+
+    A group's texts outside its head's component are judged with each other. The group is dealt out in blocks of about
+    BLOCK texts, and each pair of blocks is one group of rows, so rows grow by one for each further block and not by pairs of texts.
+    """
+    key = ["band", "sketch"]
+    of_node = roots.select("node", F.col("root").alias("_of_node"))
+    of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("_of_head"))
+    root = F.coalesce("_of_node", "node")
+    members = grouped.join(of_node, "node", "left").join(of_head, "head", "left").select(*key, "node", root.alias("root"), (root != F.coalesce("_of_head", "head")).alias("apart"))
+    members = materialize(members.where("apart"), "members")
+    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_apart")).where("_apart > 1")
+    blocks = F.ceil(F.col("_apart") / BLOCK)
+    dealt = members.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda j: F.struct(F.least(j, "block").alias("x"), F.greatest(j, "block").alias("y")))
+    texts = dealt.join(tokens, dealt.node == tokens.digest).select(*key, "block", "root", "words", F.explode(others).alias("_task")).select(*key, "_task.x", "_task.y", "block", "root", "words")
+
+    def judge(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = of[2], of[3]
+        return pd.DataFrame(block_links(rows[rows["block"] == x], rows[rows["block"] == y], x == y), columns=["a", "b"])
+
+    return texts.groupBy(*key, "x", "y").applyInPandas(judge, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """A root for each linked node, the same throughout its component: node, root. links has columns a and b.
 
@@ -253,13 +328,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = materialize(docs.select("doc_id", F.pandas_udf(sketched, "digest binary, words binary, sketches array<bigint>")(F.col("text")).alias("s")).select("doc_id", "s.digest", "s.words", "s.sketches"), "sketched")
     texts = materialize(base.where(F.size("sketches") > 0).groupBy(F.col("digest").alias("node")).agg(F.first("sketches").alias("sketches")), "texts")
     members = texts.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    links = tokens = None
+    links = tokens = groups = None
     key = ["band", "sketch"]
     for turn in range(1, ROUNDS + 1):
         place = F.struct(F.xxhash64("node", F.col("band") % ORDERS, F.lit(turn)), "node")
         first = members.groupBy(*key).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key, F.col("_first.node").alias("head"))
         grouped = materialize(members.join(first, key).where(F.col("node") != F.col("head")), "grouped")
         if tokens is None:
+            groups = grouped
             needed = grouped.select("node").union(grouped.select("head")).distinct()
             tokens = materialize(base.select("digest", "words").join(needed, base.digest == needed.node, "left_semi").groupBy("digest").agg(F.first("words").alias("words")), "tokens")
         judged = materialize(_judge(grouped.select("head", "node").distinct(), tokens), "judged")
@@ -270,7 +346,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             further = F.get("sketches", (F.col("band") + turn) % SKETCHES)
             members = materialize(left.select("node", "band", F.xxhash64("sketch", further).alias("sketch")), "members")
     roots = components(links.where("ok").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    further = materialize(remaining_links(groups, roots, tokens), "links")
     placed = base.select("doc_id", "digest").join(roots, base.digest == roots.node, "left").select("doc_id", F.coalesce("root", "digest").alias("_class"))
+    if further.limit(1).count():
+        onward = components(further).select(F.col("node").alias("_class"), "root")
+        placed = placed.join(onward, "_class", "left").select("doc_id", F.coalesce("root", "_class").alias("_class"))
     placed = materialize(placed, "placed")
     classes = placed.where(F.col("_class").isNotNull()).groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(classes, "_class", "left").select("doc_id", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))

@@ -358,6 +358,44 @@ def test_classes_equal_brute_force(spark):
     assert all(r.class_size == parent.count(r.class_id) for r in got.values())
 
 
+def sketched_classes(texts):
+    """Classes by brute force over all pairs of texts that share a sketch."""
+    words = [near_dup.word_hashes(t.lower()) for t in texts]
+    sketches = [set(enumerate(near_dup.order_sketches(w))) for w in words]
+    short = [(w >> np.uint64(32)).astype(np.uint32).tobytes() for w in words]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if parent[i] != parent[j] and sketches[i] & sketches[j] and near_dup.alike([short[i]], [short[j]])[0]:
+                root = [parent[i], parent[j]]
+                parent = [min(root) if p in root else p for p in parent]
+    return dict(enumerate(parent))
+
+
+def substituted(text, n, seed):
+    rng, words = random.Random(seed), text.split()
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"w{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_classes_of_texts_that_share_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 64)  # several blocks
+    passage = prose(1, 156)
+    own = [" ".join(f"o{i}x{k}" for k in range(44)) for i in range(200)]
+    texts = [f"{passage} {o}" for o in own] + [f"{passage} {substituted(o, 8, i)}" for i, o in enumerate(own)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == sketched_classes(texts)
+    assert len(set(got.values())) == 200
+
+
+def test_shared_words():
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 30, n).astype(np.uint32) for n in (5, 17, 40, 61)]
+    want = [[near_dup.common_words(a, b) for b in rows] for a in rows]
+    assert near_dup.shared_words(rows, rows, 7).tolist() == near_dup.shared_words(rows, rows).tolist() == want
+
+
 def test_classes_of_odd_rows(spark):
     got = near_dup.near_duplicates(odd(spark)).collect()
     assert len(got) == 7 and sorted(r.class_size for r in got) == [1] * 5 + [2, 2]
