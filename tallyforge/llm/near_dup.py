@@ -218,23 +218,26 @@ def alike(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def shared_words(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """common_words of each of left with each of right."""
-
-    def labelled(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([occurrence_labels(r.astype(np.uint64)) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-
-    (x, x_row), (y, y_row) = labelled(left), labelled(right)
-    both = np.intersect1d(x, y)
-    keep_x, keep_y = np.isin(x, both), np.isin(y, both)
-    x, x_row, y, y_row = np.searchsorted(both, x[keep_x]), x_row[keep_x], np.searchsorted(both, y[keep_y]), y_row[keep_y]
+    """The number of common labels of each of left with each of right; labels of words give common_words."""
+    sides = [(np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])) for rows in (left, right)]
+    both = np.intersect1d(*(np.unique(x) for x, _ in sides), assume_unique=True)
     out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(both), columns):
-        width = min(columns, len(both) - at)
-        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        in_x, in_y = (x >= at) & (x < at + width), (y >= at) & (y < at + width)
-        a[x_row[in_x], x[in_x] - at] = 1
-        b[y_row[in_y], y[in_y] - at] = 1
-        out += a @ b.T
+    if not len(both):
+        return out.astype(np.int64)
+    places = []
+    for x, row in sides:
+        at = np.minimum(np.searchsorted(both, x), len(both) - 1)
+        known = both[at] == x
+        places.append((at[known], row[known]))
+    for start in range(0, len(both), columns):
+        width = min(columns, len(both) - start)
+        marks = []
+        for rows, (at, row) in zip((left, right), places, strict=True):
+            mark = np.zeros((len(rows), width), np.float32)
+            here = (at >= start) & (at < start + width)
+            mark[row[here], at[here] - start] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
     return out.astype(np.int64)
 
 
@@ -243,6 +246,7 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tup
     roots, root = np.unique(np.concatenate([left["root"], right["root"]]), return_inverse=True)
     label = np.arange(len(roots))
     words = [[np.frombuffer(w, np.uint32) for w in side["words"]] for side in (left, right)]
+    labels = [[occurrence_labels(w.astype(np.uint64)) for w in side] for side in words]
     at = [root[: len(left)], root[len(left) :]]
     found = []
     for i in range(0, len(left), TILE):
@@ -253,12 +257,13 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tup
             longer = np.maximum(size_a, size_b)
             bound = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
             fit = (np.abs(size_a - size_b) <= bound) & (label[root_a][:, None] != label[root_b][None, :])
+            if same and i == j:
+                fit = np.triu(fit, 1)
             if not fit.any():
                 continue
-            for m, n in zip(*np.nonzero(fit & (shared_words(a, b) >= longer - bound)), strict=True):
-                if label[root_a[m]] == label[root_b[n]] or (same and i == j and m >= n):
-                    continue
-                if anchored_edits(a[m], b[n]) <= bound[m, n] or edit_distance(a[m], b[n], int(bound[m, n])) is not None:
+            fit &= shared_words(labels[0][i : i + TILE], labels[1][j : j + TILE]) >= longer - bound
+            for m, n in zip(*np.nonzero(fit), strict=True):
+                if label[root_a[m]] != label[root_b[n]] and (anchored_edits(a[m], b[n]) <= bound[m, n] or edit_distance(a[m], b[n], int(bound[m, n])) is not None):
                     found.append((roots[root_a[m]], roots[root_b[n]]))
                     label[label == label[root_b[n]]] = label[root_a[m]]
     return found
@@ -267,19 +272,22 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tup
 def remaining_links(grouped: DataFrame, roots: DataFrame, tokens: DataFrame) -> DataFrame:
     """The links that heads leave out: columns a and b, roots of different components. grouped: band, sketch, head, node, without the heads' own rows.
 
-    A group's texts outside its head's component are judged with each other. The group is dealt out in blocks of about
-    BLOCK texts, and each pair of blocks is one group of rows, so rows grow by one for each further block and not by pairs of texts.
+    A group's texts outside its head's component are judged with each other and with those inside, the head excepted, which has been judged with all. Both kinds
+    are dealt out in blocks of about BLOCK texts, and each pair of blocks is one group of rows, so rows grow by one for each further block and not by pairs of texts.
     """
     key = ["band", "sketch"]
     of_node = roots.select("node", F.col("root").alias("_of_node"))
     of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("_of_head"))
     root = F.coalesce("_of_node", "node")
     members = grouped.join(of_node, "node", "left").join(of_head, "head", "left").select(*key, "node", root.alias("root"), (root != F.coalesce("_of_head", "head")).alias("apart"))
-    members = materialize(members.where("apart"), "members")
-    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_apart")).where("_apart > 1")
-    blocks = F.ceil(F.col("_apart") / BLOCK)
-    dealt = members.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda j: F.struct(F.least(j, "block").alias("x"), F.greatest(j, "block").alias("y")))
+    members = materialize(members, "members")
+    sizes = members.groupBy(*key).agg(F.count_if("apart").alias("_apart"), F.count_if(~F.col("apart")).alias("_inside")).where("_apart > 0 and _apart + _inside > 1")
+    # blocks of texts apart come first; two blocks meet unless both hold texts inside
+    apart, inside = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_apart", "_inside"))
+    place = F.xxhash64("node")
+    dealt = members.join(sizes, key).withColumn("block", F.when(F.col("apart"), F.pmod(place, apart)).otherwise(apart + F.pmod(place, inside)).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("apart"), apart + inside).otherwise(apart) - 1)
+    others = F.transform(others, lambda j: F.struct(F.least(j, "block").alias("x"), F.greatest(j, "block").alias("y")))
     texts = dealt.join(tokens, dealt.node == tokens.digest).select(*key, "block", "root", "words", F.explode(others).alias("_task")).select(*key, "_task.x", "_task.y", "block", "root", "words")
 
     def judge(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -320,7 +328,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with the same words are copies and count once from there on. Candidates are linked if their words align with an edit similarity of 0.8 or more (at
     most 0.2 edits a word of the longer text); a class is a component of links. Texts that share a part J of their five-word shingles are candidates
     with a probability of about 1 - (1 - J**2)**24: all but one in 10**10 at J = 0.8, 999 of 1,000 at J = 0.5. The texts of a sketch are compared with the one that a hash puts first, one of
-    ORDERS hashes by sketch, and those it doesn't link are grouped anew by two and then three sketches together: a group makes no pairs of all with all.
+    ORDERS hashes by sketch, and those it doesn't link are grouped anew by two and then three sketches together. What these links leave in different
+    components is then judged exactly (remaining_links), so no link between texts that share a sketch is lost.
 
     A text that is null or has no words is a class of its own row; one of fewer than five words has only copies. A null doc_id counts as the largest;
     repeated rows are copies; an empty table gives an empty result; other columns are ignored.

@@ -389,11 +389,28 @@ def test_classes_of_texts_that_share_a_passage(spark, monkeypatch):
     assert len(set(got.values())) == 200
 
 
+def test_classes_of_a_star_and_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    middle = prose(2, 200)
+    star = [middle] + [substituted(middle, 24, i) for i in range(100)]
+    link = " ".join(f"c{i}" for i in range(100))
+    chain = [link]
+    for i in range(12):  # each step alters the next 12 words: neighbours are alike, others are not
+        words = chain[-1].split()
+        words[8 * i : 8 * i + 12] = [f"d{i}x{k}" for k in range(12)]
+        chain.append(" ".join(words))
+    texts = star + chain
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == sketched_classes(texts)
+    assert sum(got[i] == got[0] for i in range(101)) > 85
+
+
 def test_shared_words():
     rng = np.random.default_rng(5)
     rows = [rng.integers(0, 30, n).astype(np.uint32) for n in (5, 17, 40, 61)]
     want = [[near_dup.common_words(a, b) for b in rows] for a in rows]
-    assert near_dup.shared_words(rows, rows, 7).tolist() == near_dup.shared_words(rows, rows).tolist() == want
+    labels = [near_dup.occurrence_labels(r.astype(np.uint64)) for r in rows]
+    assert near_dup.shared_words(labels, labels, 7).tolist() == near_dup.shared_words(labels, labels).tolist() == want
 
 
 def test_classes_of_odd_rows(spark):
