@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and spans that a character-level bidirectional LSTM with CRF transitions adds.
 
-The network is written and trained in numpy, from the spans that the patterns find in a bounded sample of documents and from altered
-copies of these (a phone number without its plus sign, other separators, spaces around an at sign). Texts are cut into overlapping windows. Each kind's
-spans hold a digit or an at sign, and a decoded span without one is dropped, so windows without either need no decoding.
+The network is written and trained in numpy. Its labelled spans are those that the patterns find in a bounded sample of documents, secrets (values that
+follow a word like token or password there), and altered copies of both: a phone number without its plus sign, other separators, spaces around an at
+sign, other words and quotes before a secret. It so adds what the patterns don't admit, and secrets, which have no pattern in the result. Texts are cut into
+overlapping windows. Each kind's spans hold a digit or an at sign, and a decoded span without one is dropped, so windows without either need no decoding.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_unit
+from .shared import lean_batches
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The first BASE kinds have patterns; the network alone finds the others.
+BASE = 4
+SECRET = 4
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # no digit run is entered in its middle: what follows it is the same from any of its digits
@@ -28,6 +32,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 CUE = re.compile("[0-9@]")
+#: Labels secrets in the training sample; results come from the network.
+LABELLED = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9+/_-]{12,80})(?![A-Za-z0-9])""")
 WINDOW, STRIDE = 96, 48
 #: Shorter spans aren't added.
 LEAST = 7
@@ -42,6 +48,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """The pattern's leftmost matches, found from the at signs outwards so that long runs of letters cost no more than their length."""
     out, done, low, at = [], 0, 0, text.find("@")
@@ -61,7 +73,7 @@ def base_spans(text: str | None) -> list[Span]:
         return []
     out = [(0, *s) for s in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in IP.finditer(text) if all(octet(p) for p in m[0].split("."))]
         for kind, pattern, low, high in ((2, CARD, 16, 19), (3, PHONE, 8, 15)):
             for m in pattern.finditer(text):
                 digits = re.sub("[^0-9]", "", m[0])
@@ -70,6 +82,18 @@ def base_spans(text: str | None) -> list[Span]:
     return out
 
 
+def labelled_spans(text: str) -> list[Span]:
+    """The base spans and labelled secrets outside them."""
+    base = base_spans(text)
+    secrets = [(SECRET, *m.span(1)) for m in LABELLED.finditer(text) if mixed(m[1])]
+    return base + [s for s in secrets if not any(a < s[2] and s[1] < b for _, a, b in base)]
+
+
+def mixed(value: str) -> bool:
+    """Whether a value looks drawn: letters and at least three digits."""
+    return sum(c.isdigit() for c in value) >= 3 and any(c.isalpha() for c in value)
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -191,7 +215,7 @@ class Tagger:
                 dh_next, dc_next = dz @ wh.T, dc * f
         return float((z - score).mean()), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, *, steps: int, batch: int = 48, rate: float = 0.02) -> list[float]:
+    def fit(self, x: np.ndarray, y: np.ndarray, *, steps: int, batch: int = 48, rate: float = 0.04) -> list[float]:
         rng = np.random.default_rng(1)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         losses = []
@@ -261,33 +285,46 @@ def plausible(kind: int, text: str, start: int, end: int) -> bool:
     if kind == 0:
         return "@" in body and "." in body.partition("@")[2]
     if kind == 1:
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(octet(p) for p in parts)
+    if kind == SECRET:
+        return len(body) >= 12 and mixed(body) and not re.search(r"[^A-Za-z0-9+/_-]", body)
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 8 <= len(digits) <= 15
 
 
+def joined(spans: set[Span]) -> set[Span]:
+    """Spans of one kind that overlap or touch, as they come from windows that cut them, and what they are together."""
+    out, last = set(spans), None
+    for k, a, e in sorted(spans):
+        if last and last[0] == k and a <= last[2]:
+            last = (k, last[1], max(e, last[2]))
+            out.add(last)
+        else:
+            last = (k, a, e)
+    return out
+
+
 def added_spans(texts: list[str | None], base: list[list[Span]], tagger: Tagger, block: int = 1024) -> list[list[Span]]:
     """The network's spans that overlap no base span and pass their kind's checks.
 
-    A window's spans that touch an inner edge of it are left to the window beside it, unless both cut them. Of overlapping ones from different
-    windows the longer stays, then the one further left: one pass over the whole text by these ranks.
+    Windows overlap, so a span that one window cuts is found by the window beside it, or in parts by both; parts that overlap or touch are joined. Of the joined
+    spans and the parts, in one pass over the whole text, longer ones go first, then those further left; what overlaps a span that stays is dropped.
     """
     code = [classes(t) if t and CUE.search(t) else None for t in texts]
     where = [(i, b) for i, c in enumerate(code) if c is not None for b in window_starts(c)]
-    found: list[list[Span]] = [[] for _ in texts]
+    found: list[set[Span]] = [set() for _ in texts]
     for at in range(0, len(where), block):
         part = where[at : at + block]
         x, same = np.unique(np.stack([cut(code[i], b) for i, b in part]), axis=0, return_inverse=True)
-        tags = tagger.decode(x)
-        spans = [tagged(row) for row in tags]
+        spans = [tagged(row) for row in tagger.decode(x)]
         for (i, b), w in zip(part, same.reshape(-1), strict=True):
-            found[i] += [(k, b * STRIDE + a, b * STRIDE + e) for k, a, e in spans[w]]
+            found[i].update((k, b * STRIDE + a, b * STRIDE + e) for k, a, e in spans[w])
     out = []
     for i, spans in enumerate(found):
         kept: list[Span] = []
-        taken = np.zeros(len(code[i]) if code[i] is not None else 0, bool)
-        for _, a, e in base[i]:
+        taken = np.zeros(len(code[i]) if spans else 0, bool)
+        for _, a, e in base[i] if spans else ():
             taken[a:e] = True
-        for k, a, e in sorted(set(spans), key=lambda s: (s[1] - s[2], s[1], s[0])):
+        for k, a, e in sorted(joined(spans), key=lambda s: (s[1] - s[2], s[1], s[0])):
             a, e = max(a, 0), min(e, len(taken))
             body = texts[i][a:e]
             a, e = a + len(body) - len(body.lstrip()), e - len(body) + len(body.rstrip())
@@ -311,7 +348,11 @@ def altered(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]:
             body = (body[1:], body[1:].replace("-", "."), body[1:].replace(" ", "-"))[turn % 3]
         elif kind == 2:
             body = re.sub("[ -]", (".", "/")[turn % 2], body)
-        out += text[at:a]
+        before = text[at:a]
+        if kind == SECRET:
+            before = re.sub(r"""[A-Za-z_-]+(\s*)[=:](\s*)["']?$""", lambda m: ("api_key", "PASSWORD", "secret", "auth token")[turn % 4] + m[1] + "=:"[turn // 2 % 2] + m[2], before)
+            body = (body.upper(), body.lower(), body)[turn % 3]
+        out += before
         where.append((kind, len(out), len(out) + len(body)))
         out += body
         at = b
@@ -319,10 +360,10 @@ def altered(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]:
 
 
 def training_windows(texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from the patterns' spans, from altered copies, and as many of other windows with a digit or an at sign."""
+    """Windows and tags from labelled spans, from altered copies, and as many of other windows with a digit or an at sign."""
     y, plain = [], []
     for turn, text in enumerate(texts):
-        spans = base_spans(text)
+        spans = labelled_spans(text)
         for copy, where in [(text, spans), altered(text, spans, turn)] if spans else [(text, spans)]:
             code = classes(copy)
             tag = np.zeros(len(code), np.int8)
@@ -343,14 +384,19 @@ def training_windows(texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarr
     return np.stack([w for w, _ in rows]), np.stack([t for _, t in rows]).astype(np.int8)
 
 
-def fit_tagger(docs: DataFrame, *, sample: int = 400, windows: int = 600, steps: int = 150, most_chars: int = 20_000) -> Tagger | None:
-    """Learns from about `sample` documents (twice that at most) with digits or at signs and at most most_chars characters, chosen by a hash of doc_id. None
-    without spans."""
-    usable = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars))
-    n = usable.count()
-    chosen = usable.where(hash_unit(F.lit("tagger"), F.col("doc_id")) < sample / max(n, 1)) if n > sample else usable
-    texts = sorted(r.text for r in chosen.select("text").limit(2 * sample).collect())
-    x, y = training_windows(texts, windows)
+def fit_tagger(docs: DataFrame, *, sample: int = 400, windows: int = 600, steps: int = 400, most_chars: int = 20_000) -> Tagger | None:
+    """Learns from at most `sample` documents with digits or at signs and at most most_chars characters. None without spans.
+
+    Documents are dealt to `sample` buckets by a hash of doc_id and text, and each bucket gives the one with the least hash: the same ones on every run, however many
+    rows are repeated. Only hashes are gathered first, then the chosen texts.
+    """
+    own = F.xxhash64("doc_id", "text")
+    usable = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars)).withColumn("_h", own)
+    chosen = [r.h for r in usable.groupBy(F.pmod("_h", F.lit(sample))).agg(F.min("_h").alias("h")).collect()]
+    if not chosen:
+        return None
+    rows = usable.where(F.col("_h").isin(chosen)).groupBy("_h").agg(F.min("text").alias("text")).collect()
+    x, y = training_windows(sorted(r.text for r in rows), windows)
     if not len(x):
         return None
     tagger = Tagger.new()
@@ -358,52 +404,60 @@ def fit_tagger(docs: DataFrame, *, sample: int = 400, windows: int = 600, steps:
     return tagger
 
 
-RESULT = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint>>"
+COUNTS = tuple(f"n_{k}" for k in KINDS[:BASE])
+RESULT = ", ".join(f"{c} bigint" for c in COUNTS) + ", n_spans bigint, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint>>"
+
+
+def all_spans(texts: list[str | None], tagger: Tagger | None) -> tuple[list[list[Span]], list[list[Span]]]:
+    """The base spans of each text, and the network's."""
+    base = [base_spans(t) for t in texts]
+    return base, added_spans(texts, base, tagger) if tagger else [[] for _ in texts]
 
 
 def find_private(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, as kind:start:end) and found (all, as an array).
+    """docs with n_email, n_ip, n_card, n_phone (base spans), n_spans (all spans), base_sha256, spans (all, as kind:start:end) and found (all, as an array).
 
-    A null or empty text has no spans. Without a tagger only base spans are found. Rows are handled one by one: repeated rows stay, an empty table gives
-    an empty result, and columns of the names added are replaced.
+    A null or empty text has no spans; a text of any length is read whole, in windows. Without a tagger only base spans are found. Rows are handled one by one: repeated
+    rows stay, an empty table gives an empty result, and columns of the names added are replaced. Ties between overlapping added spans go to the one further left.
     """
+    lean_batches(docs.sparkSession)
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
-            for at in range(0, len(texts), 2000):
-                part = texts.iloc[at : at + 2000].tolist()
-                base = [base_spans(t) for t in part]
-                more = added_spans(part, base, tagger) if tagger else [[] for _ in part]
-                for b, m in zip(base, more, strict=True):
-                    both = sorted(b + m)
-                    n = [sum(k == i for k, _, _ in b) for i in range(len(KINDS))]
-                    rows.append((*n, hashlib.sha256(listed(b).encode()).hexdigest(), listed(both), [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in both]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            for b, m in zip(*all_spans(texts.tolist(), tagger), strict=True):
+                both = sorted(b + m)
+                n = [sum(k == i for k, _, _ in b) for i in range(BASE)]
+                rows.append((*n, len(both), hashlib.sha256(listed(b).encode()).hexdigest(), listed(both), [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in both]))
+            yield pd.DataFrame(rows, columns=names)
 
     out = docs.withColumn("_found", F.pandas_udf(find, RESULT)(F.col("text")))
-    for name in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"):
+    for name in names:
         out = out.withColumn(name, F.col(f"_found.{name}"))
     return out.drop("_found")
 
 
-def redacted(text: str | None, found) -> str | None:
+def redacted(text: str | None, spans: list[Span]) -> str | None:
     """The text with each span replaced by its kind in angle brackets; overlapping spans are replaced as one, by the first's kind."""
-    if text is None or found is None or not len(found):
+    if not text or not spans:
         return text
     out, at = [], 0
-    for s, e, kind in sorted((x["start"], x["end"], x["kind"]) for x in found):
+    for s, e, kind in sorted((s, e, k) for k, s, e in spans):
         if s >= at:
-            out += [text[at:s], f"<{kind.upper()}>"]
+            out += [text[at:s], f"<{KINDS[kind].upper()}>"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs (with found) with their spans replaced."""
+def redact_private(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
+    """docs with their spans replaced and n_spans: found and replaced in one pass, so that a task needs one Python worker. Rows are handled as by find_private."""
+    lean_batches(docs.sparkSession)
 
-    def replace(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, found in batches:
-            yield pd.Series([redacted(t, f) for t, f in zip(texts, found, strict=True)], dtype=object)
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            both = [b + m for b, m in zip(*all_spans(texts.tolist(), tagger), strict=True)]
+            yield pd.DataFrame({"text": [redacted(t, s) for t, s in zip(texts, both, strict=True)], "n_spans": [len(s) for s in both]})
 
-    return docs.withColumn("text", F.pandas_udf(replace, "string")("text", "found"))
+    out = docs.withColumn("_new", F.pandas_udf(replace, "text string, n_spans bigint")(F.col("text")))
+    return out.withColumn("text", F.col("_new.text")).withColumn("n_spans", F.col("_new.n_spans")).drop("_new")

@@ -14,17 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean_batches(spark: SparkSession, megabytes: int = 8, rows: int = 2_000) -> None:
+    """Bounds the Arrow batches that go to Python workers, unless the session has set them: by default 10,000 texts meet in one, in the JVM and in Python."""
+    for key, value in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", f"{megabytes}m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else the warehouse; a local one in local mode only."""
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir"):
+    """The folder that all executors share: spark.checkpoint.dir, else the warehouse. Only where the executors are this process does a temporary one serve."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not context.master.startswith("local["):
         return spark.conf.get("spark.sql.warehouse.dir")
-    folder = tempfile.mkdtemp(prefix="tallyforge-")
-    conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext._conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tallyforge-"))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -34,6 +42,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what materialize wrote for tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1] if df is not None else ():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def in_training(doc_id: Column) -> Column:
     """True for rows that models may learn from: crc32(doc_id as text) mod 4 is not 2. A null doc_id is not learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(False))

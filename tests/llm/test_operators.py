@@ -168,12 +168,12 @@ def test_private_of_odd_rows(spark):
     assert got.count() == 7 and got.where("base_sha256 = sha2('', 256)").count() == 7
     assert pii.find_private(empty(spark), None).count() == 0
     assert pii.fit_tagger(empty(spark)) is None
-    found = pii.find_private(frame(spark, [PRIVATE]), pii.fit_tagger(frame(spark, [PRIVATE] * 5), steps=30))
-    r = found.first()
+    tagger = pii.fit_tagger(frame(spark, [PRIVATE] * 5), steps=30)
+    r = pii.find_private(frame(spark, [PRIVATE]), tagger).first()
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
     assert set(slow_base(PRIVATE).split(",")) <= set(r.spans.split(","))
     assert r.base_sha256 == hashlib.sha256(slow_base(PRIVATE).encode()).hexdigest()
-    assert pii.redact(found).first().text.startswith("Write to <EMAIL> or call <PHONE>; host <IP>, card <CARD>, not")
+    assert pii.redact_private(frame(spark, [PRIVATE]), tagger).first().text.startswith("Write to <EMAIL> or call <PHONE>; host <IP>, card <CARD>, not")
 
 
 # 4
