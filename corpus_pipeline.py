@@ -43,8 +43,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
-    found = pii.find_private(docs.select(*COLUMNS), pii.fit_tagger(docs.select("doc_id", "text")))
-    return pii.redact(found).withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    found = pii.redact_private(docs.select(*COLUMNS), pii.fit_tagger(docs.select("doc_id", "text")))
+    return found.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
