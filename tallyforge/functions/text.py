@@ -105,34 +105,48 @@ def words(x: Column) -> Column:
     return F.filter(F.split(strip(x), r"\s+"), lambda w: w != "")
 
 
-def _share(hits: Column, total: Column) -> Column:
-    return F.when(F.size(total) == 0, 0.0).otherwise(F.size(hits) / F.size(total))
+def _precision(reference: Column, hypothesis: Column) -> Column:
+    """The share of the hypothesis's entries that the reference has too; 0 without entries. One sorted pass over both: an entry of the reference comes before
+    equal ones of the hypothesis."""
+    start = F.struct(F.lit(None).cast("string").alias("seen"), F.lit(0).alias("hits"))
+
+    def step(state: Column, x: Column) -> Column:
+        seen = F.when(x["own"] == 0, x["w"]).otherwise(state["seen"])
+        return F.struct(seen.alias("seen"), (state["hits"] + F.when((x["own"] == 1) & x["w"].eqNullSafe(state["seen"]), 1).otherwise(0)).alias("hits"))
+
+    def share(x: Column) -> Column:
+        marked = lambda side, own: F.transform(x[side], lambda w: F.struct(w.alias("w"), F.lit(own).alias("own")))
+        hits = F.aggregate(F.sort_array(F.concat(marked("r", 0), marked("h", 1))), start, step, lambda state: state["hits"])
+        return F.when(F.size(x["h"]) == 0, 0.0).otherwise(hits / F.size(x["h"]))
+
+    return let(F.struct(F.array_distinct(reference).alias("r"), hypothesis.alias("h")), share)
 
 
 def unigram_precision(reference: Column, hypothesis: Column) -> Column:
     """The share of the hypothesis's words that the reference has; 0 without words."""
-    ref, hyp = words(F.lower(reference)), words(F.lower(hypothesis))
-    return _share(F.filter(hyp, lambda w: F.array_contains(ref, w)), hyp)
+    return _precision(words(F.lower(reference)), words(F.lower(hypothesis)))
 
 
 def bigrams(x: Column) -> Column:
-    tokens = words(x)
-    return F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat(F.element_at(tokens, i), F.lit(" "), F.element_at(tokens, i + 1)))
-    )
+    """Pairs of neighbouring words."""
+    none = F.array().cast("array<string>")
+    pairs = lambda t: F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return let(words(x), lambda t: F.when(F.size(t) < 2, none).otherwise(pairs(t)))
 
 
 def bigram_precision(reference: Column, hypothesis: Column) -> Column:
-    ref, hyp = bigrams(F.lower(reference)), bigrams(F.lower(hypothesis))
-    return _share(F.filter(hyp, lambda w: F.array_contains(ref, w)), hyp)
+    return _precision(bigrams(F.lower(reference)), bigrams(F.lower(hypothesis)))
 
 
 def completeness(docstring: Column, spec: Column) -> Column:
     """The share of the docstring's long words, no stopwords, that the spec contains anywhere; 1 if it has none."""
-    long = F.filter(words(docstring), lambda w: (F.length(w) > 3) & ~F.array_contains(F.array(*map(F.lit, STOPWORDS)), F.lower(w)))
+    long = F.filter(words(docstring), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*STOPWORDS))
     wanted = F.array_distinct(F.transform(long, lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION))))
-    low = F.lower(spec)
-    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.filter(wanted, lambda w: F.contains(low, w))) / F.size(wanted))
+
+    def share(x: Column) -> Column:
+        return F.when(F.size(x["wanted"]) == 0, 1.0).otherwise(F.size(F.filter(x["wanted"], lambda w: F.contains(x["low"], w))) / F.size(x["wanted"]))
+
+    return let(F.struct(wanted.alias("wanted"), F.lower(spec).alias("low")), share)
 
 
 def docstring_of(prompt: Column) -> Column:
@@ -140,7 +154,7 @@ def docstring_of(prompt: Column) -> Column:
 
 
 def sbc(reference: Column, hypothesis: Column) -> Column:
-    """The mean of bigram precision, unigram precision and completeness."""
+    """The mean of bigram precision (the semantic score), unigram precision and completeness."""
     return (bigram_precision(reference, hypothesis) + unigram_precision(reference, hypothesis) + completeness(reference, hypothesis)) / 3.0
 
 

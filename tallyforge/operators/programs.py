@@ -19,32 +19,28 @@ from pyspark.sql import functions as F
 from .mutants import TIMEOUT
 
 # What each operator may become, in the order that seeded choices depend on.
-ARITHMETIC = """
-Add: Sub Mult FloorDiv
-Sub: Add Mult FloorDiv
-Mult: Add Sub FloorDiv
-FloorDiv: Add Sub Mult
-Div: Sub Mult FloorDiv
-Mod: Add Sub Mult
-"""
-RELATIONAL = """
-Lt: LtE Gt GtE Eq NotEq
-LtE: Lt Gt GtE Eq NotEq
-Gt: Lt LtE GtE Eq NotEq
-GtE: Lt LtE Gt Eq NotEq
-Eq: Lt LtE Gt GtE NotEq
-NotEq: Lt LtE Gt GtE Eq
-"""
+ARITHMETIC = {
+    "Add": ["Sub", "Mult", "FloorDiv"],
+    "Sub": ["Add", "Mult", "FloorDiv"],
+    "Mult": ["Add", "Sub", "FloorDiv"],
+    "FloorDiv": ["Add", "Sub", "Mult"],
+    "Div": ["Sub", "Mult", "FloorDiv"],
+    "Mod": ["Add", "Sub", "Mult"],
+}
+RELATIONAL = {
+    "Lt": ["LtE", "Gt", "GtE", "Eq", "NotEq"],
+    "LtE": ["Lt", "Gt", "GtE", "Eq", "NotEq"],
+    "Gt": ["Lt", "LtE", "GtE", "Eq", "NotEq"],
+    "GtE": ["Lt", "LtE", "Gt", "Eq", "NotEq"],
+    "Eq": ["Lt", "LtE", "Gt", "GtE", "NotEq"],
+    "NotEq": ["Lt", "LtE", "Gt", "GtE", "Eq"],
+}
 LETTERS = "abcdefghijklmnopqrstuvwxyz 0123456789"
 OPERATORS = ("AOR", "ROR", "SDL")
 MUTANT = "task_id string, mutant_id string, operator string, description string, code string"
 Found = list[tuple[str, str, str, str]]
 
 
-def swaps(table: str) -> dict[str, list[str]]:
-    return {k: v.split() for k, v in (line.split(": ") for line in table.strip().splitlines())}
-
-
 def name_of(node: ast.AST) -> str:
     return type(node).__name__
 
@@ -89,21 +85,19 @@ def mutate(source: str, entry_point: str, operators: Sequence[str] = OPERATORS,
             out.append((f"{kind}_{len(out)}", kind, description, ast.unparse(tree)))
 
     if "AOR" in operators:
-        table = swaps(ARITHMETIC)
-        sites = [n for n in ast.walk(tree) if isinstance(n, ast.BinOp) and name_of(n.op) in table]
+        sites = [n for n in ast.walk(tree) if isinstance(n, ast.BinOp) and name_of(n.op) in ARITHMETIC]
         rng.shuffle(sites)
         for node in sites[:limit]:
             old = name_of(node.op)
-            new = rng.choice(table[old])
+            new = rng.choice(ARITHMETIC[old])
             add("AOR", f"Replace {old.lower()} with {new.lower()}", Edit(lambda n=node: n.op, lambda v, n=node: setattr(n, "op", v), getattr(ast, new)()))
     if "ROR" in operators:
-        table = swaps(RELATIONAL)
         compares = [n for n in ast.walk(tree) if isinstance(n, ast.Compare)]
-        sites = [(n, i) for n in compares for i, op in enumerate(n.ops) if name_of(op) in table]
+        sites = [(n, i) for n in compares for i, op in enumerate(n.ops) if name_of(op) in RELATIONAL]
         rng.shuffle(sites)
         for node, i in sites[:limit]:
             old = name_of(node.ops[i])
-            new = rng.choice(table[old])
+            new = rng.choice(RELATIONAL[old])
             target = node if strict else next(n for n in compares if i < len(n.ops) and name_of(n.ops[i]) == old)
             add("ROR", f"Replace {old} with {new}", Edit(lambda n=target, i=i: n.ops[i], lambda v, n=target, i=i: n.ops.__setitem__(i, v), getattr(ast, new)()))
     if "SDL" in operators and (node := function_named(tree, entry_point)) and len(node.body) > 1:
@@ -131,7 +125,7 @@ def fallback_mutants(source: str) -> Found:
     sums = next((n for n in in_order(tree) if isinstance(n, ast.BinOp) and isinstance(n.op, (ast.Add, ast.Sub))), None)
     returns = next((n for n in in_order(tree) if isinstance(n, ast.Return) and n.value is not None and not isinstance(n.value, ast.Constant)), None)
     tests = next((n for n in in_order(tree) if isinstance(n, ast.If)), None)
-    plans = []
+    plans = []  # the names and descriptions are fixed values
     if sums:
         shift = ast.Add() if isinstance(sums.op, ast.Sub) else ast.Sub()
         plans.append(("off_by_one", "Off-by-one error in arithmetic", sums, "right", ast.BinOp(sums.right, shift, ast.Constant(1))))
