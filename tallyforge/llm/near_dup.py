@@ -17,14 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_hash, materialize, mix64, powers, prefix_hash, word_hashes
+from .shared import discard, gram_hash, lean_batches, materialize, mix64, powers, prefix_hash, word_hashes
 
 SHINGLE = 5
 ELL = 2
-SKETCHES = 24
+SKETCHES = 64
 SIMILARITY = 0.8
-ROUNDS = 3
-#: So many different texts may head the sketches of one group; each pair with a head is judged once.
+#: So many different texts may head the groups of one set of texts; each pair with a head is judged once.
 ORDERS = 3
 #: Texts of a block, and of a tile within it, when a group's texts are judged all with all.
 BLOCK = 512
@@ -63,7 +62,7 @@ def order_sketches(words: np.ndarray) -> list[int]:
         acc = np.zeros(len(h), np.uint64)
         for j in range(ell):
             acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + labels[at[:, j]])
-        out[i : i + step] = acc
+        out[i : i + step] = mix64(acc + _seeds[i : i + step])  # equal under one hash function only
     return out.view(np.int64).tolist()
 
 
@@ -161,13 +160,28 @@ def _within(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     return None
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """The size of the multisets' intersection; an alignment matches no more words."""
-    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    n = len(words)
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the multisets' intersection."""
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n = len(values)
     return int(np.minimum(np.bincount(at[: len(a)], minlength=n), np.bincount(at[len(a) :], minlength=n)).sum())
 
 
+def may_align(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
+    """False only if more than bound edits are needed: an edit changes at most q of the longer text's runs of q words, so the others are in both texts.
+
+    Long texts of one language have most words in common by chance, but few runs of words.
+    """
+    longer = max(len(a), len(b))
+    if abs(len(a) - len(b)) > bound:
+        return False
+    for q in (1, 4, 3):
+        need = longer - q + 1 - q * bound
+        if need > 0 and (min(len(a), len(b)) < q or common(a if q == 1 else gram_hash(a, q), b if q == 1 else gram_hash(b, q)) < need):
+            return False
+    return True
+
+
 def anchored_edits(a: np.ndarray, b: np.ndarray) -> int:
     """The edits of an alignment through the five-word runs that both texts have, the n-th of one kind with the n-th, as far as they rise together: no
     less than the edit distance."""
@@ -210,15 +224,16 @@ def alike(left: pd.Series, right: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(left, right, strict=True):
         a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        longer = max(len(a), len(b))
-        bound = int((1 - SIMILARITY) * longer + 1e-9)
-        possible = abs(len(a) - len(b)) <= bound and common_words(a, b) >= longer - bound
-        out.append(possible and (anchored_edits(a, b) <= bound or edit_distance(a, b, bound) is not None))
+        out.append(linked(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)))
     return pd.Series(out, dtype=bool)
 
 
-def shared_words(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """The number of common labels of each of left with each of right; labels of words give common_words."""
+def linked(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
+    return may_align(a, b, bound) and (anchored_edits(a, b) <= bound or edit_distance(a, b, bound) is not None)
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """The number of common labels of each of left with each of right; occurrence labels give common."""
     sides = [(np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])) for rows in (left, right)]
     both = np.intersect1d(*(np.unique(x) for x, _ in sides), assume_unique=True)
     out = np.zeros((len(left), len(right)), np.float32)
@@ -241,13 +256,29 @@ def shared_words(left: list[np.ndarray], right: list[np.ndarray], columns: int =
     return out.astype(np.int64)
 
 
-def block_links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[bytes, bytes]]:
-    """Links (roots) between texts of two blocks (root, words), or within one: all pairs are judged but those that links connect already."""
+def labelled(words: np.ndarray, q: int) -> np.ndarray:
+    return occurrence_labels(gram_hash(words, q)) if len(words) >= q else np.zeros(0, np.uint64)
+
+
+def block_links(sketch: int, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[bytes, bytes]]:
+    """Links (roots) between texts of two blocks (root, words, sketches), or within one, that share this sketch and none before it: other pairs are judged in the
+    group of the first sketch that they share. All pairs are judged but those that links connect already.
+
+    Pairs are taken by tiles, in which the counts of may_align are matrix products over the runs of words that both sides have: runs of four, which few texts
+    have in common by chance, then runs of three for the pairs that are left.
+    """
     roots, root = np.unique(np.concatenate([left["root"], right["root"]]), return_inverse=True)
     label = np.arange(len(roots))
     words = [[np.frombuffer(w, np.uint32) for w in side["words"]] for side in (left, right)]
-    labels = [[occurrence_labels(w.astype(np.uint64)) for w in side] for side in words]
     at = [root[: len(left)], root[len(left) :]]
+    sketches = [np.stack(side["sketches"].to_list()) if len(side) else np.zeros((0, SKETCHES), np.int64) for side in (left, right)]
+    known: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def runs(side: int, text: int, q: int) -> np.ndarray:
+        if (side, text, q) not in known:
+            known[side, text, q] = labelled(words[side][text], q)
+        return known[side, text, q]
+
     found = []
     for i in range(0, len(left), TILE):
         for j in range(i if same else 0, len(right), TILE):
@@ -259,40 +290,56 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tup
             fit = (np.abs(size_a - size_b) <= bound) & (label[root_a][:, None] != label[root_b][None, :])
             if same and i == j:
                 fit = np.triu(fit, 1)
-            if not fit.any():
-                continue
-            fit &= shared_words(labels[0][i : i + TILE], labels[1][j : j + TILE]) >= longer - bound
+            if fit.any():
+                equal = sketches[0][i : i + TILE, None, :] == sketches[1][None, j : j + TILE, :]
+                fit &= np.take_along_axis(np.broadcast_to(sketches[0][i : i + TILE, None, :], equal.shape), equal.argmax(axis=2)[:, :, None], axis=2)[:, :, 0] == sketch
+            for q in (4, 3):
+                rows, columns = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
+                if len(rows):
+                    need = (longer - q + 1 - q * bound)[np.ix_(rows, columns)]
+                    fit[np.ix_(rows, columns)] &= shared_counts([runs(0, i + m, q) for m in rows], [runs(1, j + n, q) for n in columns]) >= need
             for m, n in zip(*np.nonzero(fit), strict=True):
-                if label[root_a[m]] != label[root_b[n]] and (anchored_edits(a[m], b[n]) <= bound[m, n] or edit_distance(a[m], b[n], int(bound[m, n])) is not None):
+                if label[root_a[m]] != label[root_b[n]] and linked(a[m], b[n], int(bound[m, n])):
                     found.append((roots[root_a[m]], roots[root_b[n]]))
                     label[label == label[root_b[n]]] = label[root_a[m]]
     return found
 
 
 def remaining_links(grouped: DataFrame, roots: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The links that heads leave out: columns a and b, roots of different components. grouped: band, sketch, head, node, without the heads' own rows.
+    """The links that heads leave out: columns a and b, roots of different components. grouped: sketch, head, node, without the heads' own rows.
 
-    A group's texts outside its head's component are judged with each other and with those inside, the head excepted, which has been judged with all. Both kinds
-    are dealt out in blocks of about BLOCK texts, and each pair of blocks is one group of rows, so rows grow by one for each further block and not by pairs of texts.
+    A group's texts outside its head's component are judged with each other and with those inside, the head excepted, which has been judged with all. A link's lengths
+    differ by a fifth at most, so texts go by classes of length, each a quarter wider than the one below: a group is split into the texts of one class, with those
+    of the class below. Both kinds, apart and inside, are dealt out in blocks of about BLOCK texts, and each pair of blocks is one group of rows, so rows grow by one for each
+    further block and not by pairs of texts.
     """
-    key = ["band", "sketch"]
+    key = ["sketch", "class"]
     of_node = roots.select("node", F.col("root").alias("_of_node"))
     of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("_of_head"))
+    sizes = tokens.select(F.col("digest").alias("node"), F.floor(F.log(F.octet_length("words") / 4 + 0.5) / F.log(F.lit(1 / SIMILARITY))).cast("int").alias("_own"))
     root = F.coalesce("_of_node", "node")
-    members = grouped.join(of_node, "node", "left").join(of_head, "head", "left").select(*key, "node", root.alias("root"), (root != F.coalesce("_of_head", "head")).alias("apart"))
+    members = grouped.join(of_node, "node", "left").join(of_head, "head", "left").join(sizes, "node")
+    members = members.select("sketch", "node", root.alias("root"), (root != F.coalesce("_of_head", "head")).alias("apart"), F.posexplode(F.array("_own", F.col("_own") + 1)).alias("lower", "class"))
     members = materialize(members, "members")
-    sizes = members.groupBy(*key).agg(F.count_if("apart").alias("_apart"), F.count_if(~F.col("apart")).alias("_inside")).where("_apart > 0 and _apart + _inside > 1")
+    n_apart, n_inside = F.count_if("apart"), F.count_if(~F.col("apart"))
+    sizes = members.groupBy(*key).agg(n_apart.alias("_apart"), n_inside.alias("_inside"), F.count_if(F.col("lower") == 0).alias("_upper")).where("_apart > 0 and _upper > 0 and _apart + _inside > 1")
     # blocks of texts apart come first; two blocks meet unless both hold texts inside
     apart, inside = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_apart", "_inside"))
     place = F.xxhash64("node")
     dealt = members.join(sizes, key).withColumn("block", F.when(F.col("apart"), F.pmod(place, apart)).otherwise(apart + F.pmod(place, inside)).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("apart"), apart + inside).otherwise(apart) - 1)
     others = F.transform(others, lambda j: F.struct(F.least(j, "block").alias("x"), F.greatest(j, "block").alias("y")))
-    texts = dealt.join(tokens, dealt.node == tokens.digest).select(*key, "block", "root", "words", F.explode(others).alias("_task")).select(*key, "_task.x", "_task.y", "block", "root", "words")
+    columns = ("block", "lower", "root", "words", "sketches")
+    texts = dealt.join(tokens, dealt.node == tokens.digest).select(*key, *columns, F.explode(others).alias("_task")).select(*key, "_task.x", "_task.y", *columns)
 
     def judge(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = of[2], of[3]
-        return pd.DataFrame(block_links(rows[rows["block"] == x], rows[rows["block"] == y], x == y), columns=["a", "b"])
+        sides = [rows[rows["block"] == at] for at in (x, y)]
+        own, below = ([side[side["lower"] == k] for side in sides] for k in (0, 1))
+        found = block_links(of[0], own[0], own[1], x == y) + block_links(of[0], own[0], below[1], False)
+        if x != y:
+            found += block_links(of[0], below[0], own[1], False)
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return texts.groupBy(*key, "x", "y").applyInPandas(judge, "a binary, b binary")
 
@@ -327,40 +374,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with the same words are copies and count once from there on. Candidates are linked if their words align with an edit similarity of 0.8 or more (at
     most 0.2 edits a word of the longer text); a class is a component of links. Texts that share a part J of their five-word shingles are candidates
-    with a probability of about 1 - (1 - J**2)**24: all but one in 10**10 at J = 0.8, 999 of 1,000 at J = 0.5. The texts of a sketch are compared with the one that a hash puts first, one of
-    ORDERS hashes by sketch, and those it doesn't link are grouped anew by two and then three sketches together. What these links leave in different
-    components is then judged exactly (remaining_links), so no link between texts that share a sketch is lost.
+    with a probability of about 1 - (1 - J**2)**64: all but one in 10**28 at J = 0.8, and 0.92 at J = 0.2, which is about what edits of single words leave at
+    the similarity of 0.8. A group of one sketch is compared with the text that a hash puts first, one of ORDERS hashes by sketch. What these links leave in
+    different components is then judged exactly (remaining_links), so no link between texts that share a sketch is lost.
 
-    A text that is null or has no words is a class of its own row; one of fewer than five words has only copies. A null doc_id counts as the largest;
-    repeated rows are copies; an empty table gives an empty result; other columns are ignored.
+    A text that is null or has no words is a class of its own row; one of fewer than five words has no shingle and only copies. Texts of any length are aligned
+    whole: in bands, with an effort of at most the square of 0.2 edits a word, and only where counts of words and of runs of three and four allow a link. A null
+    doc_id counts as the largest; repeated rows are copies; an empty table gives an empty result; other columns are ignored.
     """
+    lean_batches(docs.sparkSession)
     base = materialize(docs.select("doc_id", F.pandas_udf(sketched, "digest binary, words binary, sketches array<bigint>")(F.col("text")).alias("s")).select("doc_id", "s.digest", "s.words", "s.sketches"), "sketched")
-    texts = materialize(base.where(F.size("sketches") > 0).groupBy(F.col("digest").alias("node")).agg(F.first("sketches").alias("sketches")), "texts")
-    members = texts.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    links = tokens = groups = None
-    key = ["band", "sketch"]
-    for turn in range(1, ROUNDS + 1):
-        place = F.struct(F.xxhash64("node", F.col("band") % ORDERS, F.lit(turn)), "node")
-        first = members.groupBy(*key).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key, F.col("_first.node").alias("head"))
-        grouped = materialize(members.join(first, key).where(F.col("node") != F.col("head")), "grouped")
-        if tokens is None:
-            groups = grouped
-            needed = grouped.select("node").union(grouped.select("head")).distinct()
-            tokens = materialize(base.select("digest", "words").join(needed, base.digest == needed.node, "left_semi").groupBy("digest").agg(F.first("words").alias("words")), "tokens")
-        judged = materialize(_judge(grouped.select("head", "node").distinct(), tokens), "judged")
-        links = judged if links is None else links.unionByName(judged)
-        if turn < ROUNDS:
-            # texts that the head doesn't link are grouped anew by a further sketch
-            left = grouped.join(judged.where(~F.col("ok")), ["head", "node"], "left_semi").join(texts, "node")
-            further = F.get("sketches", (F.col("band") + turn) % SKETCHES)
-            members = materialize(left.select("node", "band", F.xxhash64("sketch", further).alias("sketch")), "members")
-    roots = components(links.where("ok").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    further = materialize(remaining_links(groups, roots, tokens), "links")
+    texts = base.where(F.size("sketches") > 0).groupBy(F.col("digest").alias("node")).agg(F.first("sketches").alias("sketches"))
+    members = materialize(texts.select("node", F.explode("sketches").alias("sketch")), "sketches")
+    twice = members.groupBy("sketch").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sketch")
+    shared = materialize(members.join(twice, "sketch", "left_semi"), "shared")
+    place = F.struct(F.xxhash64("node", F.pmod("sketch", F.lit(ORDERS))), "node")
+    first = shared.groupBy("sketch").agg(F.min(place).alias("_first")).select("sketch", F.col("_first.node").alias("head"))
+    grouped = materialize(shared.join(first, "sketch").where(F.col("node") != F.col("head")), "grouped")
+    needed = grouped.select("node").union(grouped.select("head")).distinct()
+    tokens = base.select("digest", F.struct("words", "sketches").alias("t")).join(needed, base.digest == needed.node, "left_semi")
+    tokens = materialize(tokens.groupBy("digest").agg(F.first("t").alias("t")).select("digest", "t.*"), "tokens")
+    judged = materialize(_judge(grouped.select("head", "node").distinct(), tokens), "judged")
+    roots = components(judged.where("ok").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    further = materialize(remaining_links(grouped, roots, tokens), "links")
     placed = base.select("doc_id", "digest").join(roots, base.digest == roots.node, "left").select("doc_id", F.coalesce("root", "digest").alias("_class"))
     if further.limit(1).count():
         onward = components(further).select(F.col("node").alias("_class"), "root")
         placed = placed.join(onward, "_class", "left").select("doc_id", F.coalesce("root", "_class").alias("_class"))
     placed = materialize(placed, "placed")
+    discard(base, members, shared, grouped, tokens, judged, further)
     classes = placed.where(F.col("_class").isNotNull()).groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(classes, "_class", "left").select("doc_id", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 

@@ -408,9 +408,9 @@ def test_classes_of_a_star_and_a_chain(spark, monkeypatch):
 def test_shared_words():
     rng = np.random.default_rng(5)
     rows = [rng.integers(0, 30, n).astype(np.uint32) for n in (5, 17, 40, 61)]
-    want = [[near_dup.common_words(a, b) for b in rows] for a in rows]
+    want = [[near_dup.common(a, b) for b in rows] for a in rows]
     labels = [near_dup.occurrence_labels(r.astype(np.uint64)) for r in rows]
-    assert near_dup.shared_words(labels, labels, 7).tolist() == near_dup.shared_words(labels, labels).tolist() == want
+    assert near_dup.shared_counts(labels, labels, 7).tolist() == near_dup.shared_counts(labels, labels).tolist() == want
 
 
 def test_classes_of_odd_rows(spark):
