@@ -17,17 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, gram_hash, lean_batches, materialize, mix64, powers, prefix_hash, word_hashes
+from .shared import discard, gram_hash, lean_batches, materialize, mix64, word_hashes
 
 SHINGLE = 5
 ELL = 2
 SKETCHES = 64
 SIMILARITY = 0.8
-#: So many different texts may head the groups of one set of texts; each pair with a head is judged once.
-ORDERS = 3
 #: Texts of a block, and of a tile within it, when a group's texts are judged all with all.
 BLOCK = 512
 TILE = 128
+PART = 1024
 _seeds = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -81,83 +80,65 @@ def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, bound: int) -> int | None:
-    """The number of word edits between a and b, None above bound.
-
-    Bands of doubling width are tried. Within one, reach[d] is the farthest position of a on diagonal d for the edits so far; all diagonals of a
-    band advance together over their runs of equal words.
-    """
+    """The number of word edits between a and b, None above bound. What both begin and end with is left out; bands widen fourfold up to the bound."""
     n = min(len(a), len(b))
-    if not n:
-        return max(len(a), len(b)) if max(len(a), len(b)) <= bound else None
     same = a[:n] == b[:n]
     head = n if same.all() else int(np.argmin(same))
     a, b = a[head:], b[head:]
     n = min(len(a), len(b))
-    if n:
-        same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
-        tail = n if same.all() else int(np.argmin(same))
-        a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        d = max(len(a), len(b))
+    same = (a[len(a) - n :] == b[len(b) - n :])[::-1]
+    tail = n if same.all() else int(np.argmin(same))
+    left, right = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    if not left or not right:
+        d = max(len(left), len(right))
         return d if d <= bound else None
-    band = min(bound, max(8, abs(len(a) - len(b))))
-    while True:
-        d = _within(a, b, band)
-        if d is not None or band >= bound:
-            return d
-        band = min(bound, 2 * band)
+    band = min(bound, max(256, abs(len(left) - len(right))))
+    while (d := banded(left, right, band)) is None and band < bound:
+        band = min(bound, 4 * band)
+    return d
+
 
+def banded(a: list[int], b: list[int], band: int) -> int | None:
+    """The edit distance if it is at most band: an alignment within the diagonals from -band to band, one column of them at a time.
 
-def _within(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
-    goal = len(b) - len(a)
-    if abs(goal) > band:
+    A column is held as two integers whose bits say where its values rise or fall by one from row to row (Hyyrö's banded form of Myers' algorithm), so a step is a
+    few operations on 2 * band + 1 bits. Bit t of the column of b[j] is row j - band + t.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > band:
         return None
-    diagonal = np.arange(-band, band + 1)
-
-    def slide(at: np.ndarray) -> np.ndarray:
-        """Each diagonal's run of equal words, by binary search over prefix hashes; a collision of these 64-bit hashes is neglected."""
-        live = np.flatnonzero((at >= 0) & (at + diagonal >= 0))
-        i, j = at[live], at[live] + diagonal[live]
-        room = np.minimum(len(a) - i, len(b) - j)
-        low, high = np.zeros(len(live), np.int64), np.maximum(room, 0)
-        while (open_ := low < high).any():
-            middle = (low + high + 1) // 2
-            x = (hash_a[np.minimum(i + middle, len(a))] - hash_a[i]) * inverse[i]
-            y = (hash_b[np.minimum(j + middle, len(b))] - hash_b[j]) * inverse[j]
-            same = x == y
-            low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
-        at[live] = i + low
-        return at
-
-    def look_up(at: np.ndarray) -> np.ndarray:
-        i = np.clip(at, 0, len(a))
-        return np.where(at < 0, at, following[np.arange(len(diagonal)), i])
-
-    table = len(diagonal) * (len(a) + 1) <= 1 << 18
-    if table:  # following[d, i]: the next i on diagonal d at which the words differ
-        at_a = np.arange(len(a))
-        j = at_a[None, :] + diagonal[:, None]
-        differ = (j < 0) | (j >= len(b))
-        differ |= a[None, :] != b[np.clip(j, 0, len(b) - 1)]
-        following = np.full((len(diagonal), len(a) + 1), len(a))
-        following[:, :-1] = np.minimum.accumulate(np.where(differ, at_a, len(a))[:, ::-1], axis=1)[:, ::-1]
-    else:
-        hash_a, hash_b, inverse = prefix_hash(a), prefix_hash(b), powers(max(len(a), len(b)) + 1)[1]
-    go = look_up if table else slide
-    low = -(1 << 30)
-    reach = np.full(len(diagonal), low)
-    reach[band] = 0
-    reach = go(reach)
-    for edits in range(band + 1):
-        if reach[band + goal] >= len(a):
-            return edits
-        step = reach + 1
-        step[1:] = np.maximum(step[1:], reach[:-1])
-        step[:-1] = np.maximum(step[:-1], reach[1:] + 1)
-        step = np.minimum(step, np.minimum(len(a), len(b) - diagonal))
-        step[(step < 0) | (step + diagonal < 0)] = low
-        reach = go(step)
-    return None
+    full, top = (1 << (2 * band + 1)) - 1, 2 * band
+    rows: dict[int, tuple[int, int]] = {}  # the rows in the band so far that hold a word, as bits counted from a base
+
+    def enter(i: int) -> None:
+        bits, base = rows.get(a[i], (0, i))
+        rows[a[i]] = bits | 1 << (i - base), base
+
+    for i in range(min(band, n)):
+        enter(i)
+    rise, fall, cost = full ^ ((1 << band) - 1), 0, min(band, n)
+    for j, word in enumerate(b):
+        if j + band < n:
+            enter(j + band)
+        low, equal = j - band, 0
+        if found := rows.get(word):
+            bits, base = found
+            if base < low:
+                bits, base = bits >> (low - base), low
+                rows[word] = bits, base
+            equal = bits << (base - low)
+        flat = ((((equal & rise) + rise) ^ rise) | equal | fall) & full  # no change along the diagonal
+        right_rise, right_fall = fall | (full & ~(flat | rise)), flat & rise
+        if j + band < n:
+            cost += not flat >> top & 1
+            if cost > 2 * band + m - n:
+                return None
+        else:
+            last = n - 1 - low
+            cost += (right_rise >> last & 1) - (right_fall >> last & 1)
+        flat >>= 1
+        rise, fall = right_fall | (full & ~(flat | right_rise)), flat & right_rise
+    return cost if cost <= band else None
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -173,9 +154,7 @@ def may_align(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
     Long texts of one language have most words in common by chance, but few runs of words.
     """
     longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > bound:
-        return False
-    for q in (1, 4, 3):
+    for q in (4, 3, 1):
         need = longer - q + 1 - q * bound
         if need > 0 and (min(len(a), len(b)) < q or common(a if q == 1 else gram_hash(a, q), b if q == 1 else gram_hash(b, q)) < need):
             return False
@@ -217,10 +196,7 @@ def longest_rising(values: list[int]) -> list[int]:
 
 
 def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Whether two word sequences align with at most (1 - SIMILARITY) * the longer one's length edits.
-
-    An alignment through common runs settles pairs that it brings within the bound; the others are aligned in bands.
-    """
+    """Whether two word sequences align with at most (1 - SIMILARITY) * the longer one's length edits."""
     out = []
     for x, y in zip(left, right, strict=True):
         a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
@@ -229,7 +205,10 @@ def alike(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def linked(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
-    return may_align(a, b, bound) and (anchored_edits(a, b) <= bound or edit_distance(a, b, bound) is not None)
+    """An alignment through common runs settles most pairs within the bound; the others are aligned in bands."""
+    if abs(len(a) - len(b)) > bound:
+        return False
+    return anchored_edits(a, b) <= bound or (may_align(a, b, bound) and edit_distance(a, b, bound) is not None)
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -260,18 +239,21 @@ def labelled(words: np.ndarray, q: int) -> np.ndarray:
     return occurrence_labels(gram_hash(words, q)) if len(words) >= q else np.zeros(0, np.uint64)
 
 
-def block_links(sketch: int, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[bytes, bytes]]:
-    """Links (roots) between texts of two blocks (root, words, sketches), or within one, that share this sketch and none before it: other pairs are judged in the
+#: Texts of a block: roots, words and a row of sketches each.
+Side = tuple[list[bytes], list[np.ndarray], np.ndarray]
+
+
+def block_links(sketch: int, left: Side, right: Side, same: bool) -> list[tuple[bytes, bytes]]:
+    """Links (roots) between texts of two blocks, or within one, that share this sketch and none before it: other pairs are judged in the
     group of the first sketch that they share. All pairs are judged but those that links connect already.
 
     Pairs are taken by tiles, in which the counts of may_align are matrix products over the runs of words that both sides have: runs of four, which few texts
     have in common by chance, then runs of three for the pairs that are left.
     """
-    roots, root = np.unique(np.concatenate([left["root"], right["root"]]), return_inverse=True)
-    label = np.arange(len(roots))
-    words = [[np.frombuffer(w, np.uint32) for w in side["words"]] for side in (left, right)]
-    at = [root[: len(left)], root[len(left) :]]
-    sketches = [np.stack(side["sketches"].to_list()) if len(side) else np.zeros((0, SKETCHES), np.int64) for side in (left, right)]
+    numbers: dict[bytes, int] = {}
+    at = [np.array([numbers.setdefault(r, len(numbers)) for r in side[0]], np.int64) for side in (left, right)]
+    roots, label = list(numbers), np.arange(len(numbers))
+    words, sketches = (left[1], right[1]), (left[2], right[2])
     known: dict[tuple[int, int, int], np.ndarray] = {}
 
     def runs(side: int, text: int, q: int) -> np.ndarray:
@@ -280,8 +262,8 @@ def block_links(sketch: int, left: pd.DataFrame, right: pd.DataFrame, same: bool
         return known[side, text, q]
 
     found = []
-    for i in range(0, len(left), TILE):
-        for j in range(i if same else 0, len(right), TILE):
+    for i in range(0, len(words[0]), TILE):
+        for j in range(i if same else 0, len(words[1]), TILE):
             a, b = words[0][i : i + TILE], words[1][j : j + TILE]
             root_a, root_b = at[0][i : i + TILE], at[1][j : j + TILE]
             size_a, size_b = np.array([len(w) for w in a])[:, None], np.array([len(w) for w in b])[None, :]
@@ -329,19 +311,32 @@ def remaining_links(grouped: DataFrame, roots: DataFrame, tokens: DataFrame) ->
     dealt = members.join(sizes, key).withColumn("block", F.when(F.col("apart"), F.pmod(place, apart)).otherwise(apart + F.pmod(place, inside)).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("apart"), apart + inside).otherwise(apart) - 1)
     others = F.transform(others, lambda j: F.struct(F.least(j, "block").alias("x"), F.greatest(j, "block").alias("y")))
-    columns = ("block", "lower", "root", "words", "sketches")
-    texts = dealt.join(tokens, dealt.node == tokens.digest).select(*key, *columns, F.explode(others).alias("_task")).select(*key, "_task.x", "_task.y", *columns)
-
-    def judge(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = of[2], of[3]
-        sides = [rows[rows["block"] == at] for at in (x, y)]
-        own, below = ([side[side["lower"] == k] for side in sides] for k in (0, 1))
-        found = block_links(of[0], own[0], own[1], x == y) + block_links(of[0], own[0], below[1], False)
-        if x != y:
-            found += block_links(of[0], below[0], own[1], False)
+    columns = ("sketch", "class", "x", "y", "block", "lower", "root", "words", "sketches")
+    tasks = dealt.withColumn("_task", F.explode(others)).withColumn("x", F.col("_task.x")).withColumn("y", F.col("_task.y"))
+    # many groups are small: about PART rows are judged in one call
+    total = sizes.agg(F.sum((F.col("_apart") + F.col("_inside")) * (apart + inside))).first()[0]
+    texts = tasks.join(tokens, tasks.node == tokens.digest).withColumn("part", F.pmod(F.xxhash64("sketch", "class", "x", "y"), F.lit((total or 0) // PART + 1))).select("part", *columns)
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.stack([rows[c].to_numpy(np.int64) for c in columns[:4]])
+        block, lower = rows["block"].to_numpy(), rows["lower"].to_numpy()
+        root, words, sketches = list(rows["root"]), [np.frombuffer(w, np.uint32) for w in rows["words"]], np.stack(rows["sketches"].to_list())
+        order = np.lexsort(keys)
+        edges = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0)) + 1
+        found = []
+        for group in np.split(order, edges):
+            sketch, _, x, y = keys[:, group[0]]
+            sides = {}
+            for at in {int(x), int(y)}:
+                for k in (0, 1):
+                    own = group[(block[group] == at) & (lower[group] == k)]
+                    sides[at, k] = [root[i] for i in own], [words[i] for i in own], sketches[own]
+            found += block_links(sketch, sides[x, 0], sides[y, 0], x == y) + block_links(sketch, sides[x, 0], sides[y, 1], False)
+            if x != y:
+                found += block_links(sketch, sides[x, 1], sides[y, 0], False)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return texts.groupBy(*key, "x", "y").applyInPandas(judge, "a binary, b binary")
+    return texts.groupBy("part").applyInPandas(judge, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -375,11 +370,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with the same words are copies and count once from there on. Candidates are linked if their words align with an edit similarity of 0.8 or more (at
     most 0.2 edits a word of the longer text); a class is a component of links. Texts that share a part J of their five-word shingles are candidates
     with a probability of about 1 - (1 - J**2)**64: all but one in 10**28 at J = 0.8, and 0.92 at J = 0.2, which is about what edits of single words leave at
-    the similarity of 0.8. A group of one sketch is compared with the text that a hash puts first, one of ORDERS hashes by sketch. What these links leave in
+    the similarity of 0.8. A group of one sketch is compared with the text that a hash puts first. What these links leave in
     different components is then judged exactly (remaining_links), so no link between texts that share a sketch is lost.
 
     A text that is null or has no words is a class of its own row; one of fewer than five words has no shingle and only copies. Texts of any length are aligned
-    whole: in bands, with an effort of at most the square of 0.2 edits a word, and only where counts of words and of runs of three and four allow a link. A null
+    whole: in bands of bits, a text of n words in n steps on at most 0.4 n bits, and only where counts of words and of runs of three and four allow a link. A null
     doc_id counts as the largest; repeated rows are copies; an empty table gives an empty result; other columns are ignored.
     """
     lean_batches(docs.sparkSession)
@@ -388,7 +383,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(texts.select("node", F.explode("sketches").alias("sketch")), "sketches")
     twice = members.groupBy("sketch").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sketch")
     shared = materialize(members.join(twice, "sketch", "left_semi"), "shared")
-    place = F.struct(F.xxhash64("node", F.pmod("sketch", F.lit(ORDERS))), "node")
+    place = F.struct(F.xxhash64("node"), "node")
     first = shared.groupBy("sketch").agg(F.min(place).alias("_first")).select("sketch", F.col("_first.node").alias("head"))
     grouped = materialize(shared.join(first, "sketch").where(F.col("node") != F.col("head")), "grouped")
     needed = grouped.select("node").union(grouped.select("head")).distinct()

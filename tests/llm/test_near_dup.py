@@ -69,17 +69,16 @@ def test_bounds_never_lose_a_link():
 
 
 def test_pairs_are_judged_in_the_first_group_they_share():
-    import pandas as pd
-
     texts = [fresh(random.Random(1), 60)]
     texts += [substituted(texts[0], 3, i) for i in range(4)]
     words = [near_dup.word_hashes(t) for t in texts]
-    rows = pd.DataFrame({"root": [bytes([i]) for i in range(5)], "words": [(w >> np.uint64(32)).astype(np.uint32).tobytes() for w in words], "sketches": [np.array(near_dup.order_sketches(w)) for w in words]})
+    sketches = np.array([near_dup.order_sketches(w) for w in words])
+    side = [bytes([i]) for i in range(5)], [(w >> np.uint64(32)).astype(np.uint32) for w in words], sketches
     first = {}
     for i in range(5):
         for j in range(i):
-            shared = [s for s, t in zip(rows["sketches"][i], rows["sketches"][j], strict=True) if s == t]
+            shared = [s for s, t in zip(sketches[i], sketches[j], strict=True) if s == t]
             first.setdefault(shared[0], set()).add((i, j))
-    for sketch in set(rows["sketches"].explode()):
-        found = near_dup.block_links(sketch, rows, rows, True)
+    for sketch in set(sketches.ravel()):
+        found = near_dup.block_links(sketch, side, side, True)
         assert bool(found) == (sketch in first)
