@@ -21,10 +21,11 @@ from .shared import discard, gram_hash, lean_batches, materialize, mix64, word_h
 
 SHINGLE = 5
 ELL = 2
+#: A power of two.
 SKETCHES = 64
 SIMILARITY = 0.8
 #: Texts of a block, and of a tile within it, when a group's texts are judged all with all.
-BLOCK = 512
+BLOCK = 2048
 TILE = 128
 PART = 1024
 _seeds = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -244,8 +245,8 @@ Side = tuple[list[bytes], list[np.ndarray], np.ndarray]
 
 
 def block_links(sketch: int, left: Side, right: Side, same: bool) -> list[tuple[bytes, bytes]]:
-    """Links (roots) between texts of two blocks, or within one, that share this sketch and none before it: other pairs are judged in the
-    group of the first sketch that they share. All pairs are judged but those that links connect already.
+    """Links (roots) between texts of two blocks, or within one, whose pair belongs to this sketch: of the sketches that two texts share, a hash of both
+    picks the one in whose group they are judged, so that groups of the same texts divide the pairs. All pairs are judged but those that links connect already.
 
     Pairs are taken by tiles, in which the counts of may_align are matrix products over the runs of words that both sides have: runs of four, which few texts
     have in common by chance, then runs of three for the pairs that are left.
@@ -273,8 +274,10 @@ def block_links(sketch: int, left: Side, right: Side, same: bool) -> list[tuple[
             if same and i == j:
                 fit = np.triu(fit, 1)
             if fit.any():
-                equal = sketches[0][i : i + TILE, None, :] == sketches[1][None, j : j + TILE, :]
-                fit &= np.take_along_axis(np.broadcast_to(sketches[0][i : i + TILE, None, :], equal.shape), equal.argmax(axis=2)[:, :, None], axis=2)[:, :, 0] == sketch
+                x, y = sketches[0][i : i + TILE], sketches[1][j : j + TILE]
+                turn = ((x[:, 0, None] ^ y[None, :, 0]) & (SKETCHES - 1)).astype(np.uint8)
+                rank = np.where(x[:, None, :] == y[None, :, :], np.arange(SKETCHES, dtype=np.uint8) ^ turn[:, :, None], np.uint8(255))
+                fit &= np.take_along_axis(np.broadcast_to(x[:, None, :], rank.shape), rank.argmin(axis=2)[:, :, None], axis=2)[:, :, 0] == sketch
             for q in (4, 3):
                 rows, columns = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
                 if len(rows):
@@ -305,11 +308,13 @@ def remaining_links(grouped: DataFrame, roots: DataFrame, tokens: DataFrame) ->
     members = materialize(members, "members")
     n_apart, n_inside = F.count_if("apart"), F.count_if(~F.col("apart"))
     sizes = members.groupBy(*key).agg(n_apart.alias("_apart"), n_inside.alias("_inside"), F.count_if(F.col("lower") == 0).alias("_upper")).where("_apart > 0 and _upper > 0 and _apart + _inside > 1")
-    # blocks of texts apart come first; two blocks meet unless both hold texts inside
-    apart, inside = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_apart", "_inside"))
+    # a group of at most BLOCK texts is one block; in others, blocks of texts apart come first, and two blocks meet unless both hold texts inside
+    whole = F.col("_apart") + F.col("_inside") <= BLOCK
+    apart = F.when(whole, 1).otherwise(F.ceil(F.col("_apart") / BLOCK)).cast("int")
+    inside = F.when(whole, 0).otherwise(F.ceil(F.col("_inside") / BLOCK)).cast("int")
     place = F.xxhash64("node")
-    dealt = members.join(sizes, key).withColumn("block", F.when(F.col("apart"), F.pmod(place, apart)).otherwise(apart + F.pmod(place, inside)).cast("int"))
-    others = F.sequence(F.lit(0), F.when(F.col("apart"), apart + inside).otherwise(apart) - 1)
+    dealt = members.join(sizes, key).withColumn("block", F.when(F.col("apart") | whole, F.pmod(place, apart)).otherwise(apart + F.pmod(place, inside)).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("apart") | whole, apart + inside).otherwise(apart) - 1)
     others = F.transform(others, lambda j: F.struct(F.least(j, "block").alias("x"), F.greatest(j, "block").alias("y")))
     columns = ("sketch", "class", "x", "y", "block", "lower", "root", "words", "sketches")
     tasks = dealt.withColumn("_task", F.explode(others)).withColumn("x", F.col("_task.x")).withColumn("y", F.col("_task.y"))

@@ -68,17 +68,13 @@ def test_bounds_never_lose_a_link():
         assert near_dup.linked(a, b, bound) == (lev(a.tolist(), b.tolist()) <= bound), i
 
 
-def test_pairs_are_judged_in_the_first_group_they_share():
+def test_each_pair_is_judged_in_one_group():
     texts = [fresh(random.Random(1), 60)]
     texts += [substituted(texts[0], 3, i) for i in range(4)]
     words = [near_dup.word_hashes(t) for t in texts]
     sketches = np.array([near_dup.order_sketches(w) for w in words])
-    side = [bytes([i]) for i in range(5)], [(w >> np.uint64(32)).astype(np.uint32) for w in words], sketches
-    first = {}
+    short = [(w >> np.uint64(32)).astype(np.uint32) for w in words]
     for i in range(5):
         for j in range(i):
-            shared = [s for s, t in zip(sketches[i], sketches[j], strict=True) if s == t]
-            first.setdefault(shared[0], set()).add((i, j))
-    for sketch in set(sketches.ravel()):
-        found = near_dup.block_links(sketch, side, side, True)
-        assert bool(found) == (sketch in first)
+            one, other = (([bytes([k])], [short[k]], sketches[k : k + 1]) for k in (i, j))
+            assert sum(len(near_dup.block_links(s, one, other, False)) for s in set(sketches.ravel())) == 1
