@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_hash
+from .shared import discard, gram_hash, lean_batches, materialize
 
 HITS = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:bigint>>"
 _word: list[np.ndarray] = []
@@ -35,22 +35,30 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+#: So many q-gram matches are expanded at once.
+CHUNK = 1 << 20
+OFFSET = 1 << 40
+
+
 class Items:
-    """An index of benchmark items: their q-grams, sorted by hash, with item and position."""
+    """An index of benchmark items: their q-grams, sorted by hash, with item and position. Items of fewer than q characters are found as whole words, unchanged."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, edits: float) -> None:
         self.q, self.ids, self.text, self.budget = q, [], [], []
         grams, owner, place = [], [], []
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for item_id, text in items:
             cp = normalise(text)[0]
             if len(cp) < q:
+                if len(cp):
+                    self.short.setdefault(len(cp), {}).setdefault(cp.tobytes(), []).append(item_id)
                 continue
-            for values, value in ((grams, gram_hash(cp, q)), (owner, np.full(len(cp) - q + 1, len(self.ids))), (place, np.arange(len(cp) - q + 1))):
+            for values, value in ((grams, gram_hash(cp, q)), (owner, np.full(len(cp) - q + 1, len(self.ids), np.int32)), (place, np.arange(len(cp) - q + 1, dtype=np.int32))):
                 values.append(value)
             self.ids.append(item_id)
             self.text.append(cp)
             self.budget.append(min(int(edits * len(cp)), (len(cp) - q) // q))
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         h = np.concatenate([np.zeros(0, np.uint64), *grams])
         order = np.argsort(h, kind="stable")
         self.owner, self.place = np.concatenate([none, *owner])[order], np.concatenate([none, *place])[order]
@@ -63,30 +71,62 @@ class Items:
 
     def search(self, text: str | None) -> list[dict]:
         """The best alignment of each item that occurs within its budget of edits."""
-        if not text or not self.ids:
+        if not text or not (self.ids or self.short):
             return []
         doc, at = normalise(text)
+        found = {self.ids[i]: span for i, span in self.aligned(doc).items()} | self.exact(doc)
+        return [{"item_id": i, "start": int(at[s]), "end": int(at[e - 1]) + 1, "edits": d} for i, (s, e, d) in sorted(found.items())]
+
+    def exact(self, doc: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """The first place of each short item that stands as words of its own."""
+        found: dict[int, tuple[int, int, int]] = {}
+        words = np.concatenate([[np.uint32(32)], doc, [np.uint32(32)]]).astype(np.uint32)
+        for n, items in self.short.items():
+            if len(doc) < n:
+                continue
+            wanted = {k: np.frombuffer(k, np.uint32) for k in items}
+            hashes = gram_hash(words, n + 2)
+            for key, cp in wanted.items():
+                hit = np.flatnonzero(hashes == gram_hash(np.concatenate([[np.uint32(32)], cp, [np.uint32(32)]]).astype(np.uint32), n + 2)[0])
+                if len(hit):
+                    found |= {i: (int(hit[0]), int(hit[0]) + n, 0) for i in items[key]}
+        return found
+
+    def bands(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bands of items that share q-grams with the text, as keys of item and band, and how many. A q-gram of many items is expanded in pieces."""
         h = gram_hash(doc, self.q)
         hit = np.flatnonzero(self.seen[h >> np.uint64(44)])
         where = np.minimum(np.searchsorted(self.hash, h[hit]), len(self.hash) - 1)
         same = self.hash[where] == h[hit]
         hit, where = hit[same], where[same]
-        if not len(hit):
-            return []
-        times = self.times[where]
-        entry = np.repeat(self.first[where] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item, diagonal = self.owner[entry], np.repeat(hit, times) - self.place[entry]
-        step = self.budgets[item] + 1
-        band = np.floor_divide(diagonal, step)
-        offset = np.int64(1) << 40
-        key, count = np.unique(np.concatenate([item * offset + (band + (offset >> 1)), item * offset + (band - 1 + (offset >> 1))]), return_counts=True)
-        found: dict[int, tuple] = {}
-        for k in key[count >= self.least[key // offset]]:
-            i, b = int(k // offset), int(k % offset) - int(offset >> 1)
+        ends = np.cumsum(self.times[where])
+        keys, counts, total, start = [], [], ends[-1] if len(ends) else 0, 0
+        while start < total:
+            entry = np.arange(start, min(start + CHUNK, total))
+            of = np.searchsorted(ends, entry, side="right")
+            at = self.first[where[of]] + entry - (ends[of] - self.times[where[of]])
+            item = self.owner[at].astype(np.int64)
+            band = np.floor_divide(hit[of] - self.place[at], self.budgets[item] + 1)
+            key, count = np.unique(np.concatenate([item * OFFSET + (band + OFFSET // 2), item * OFFSET + (band - 1 + OFFSET // 2)]), return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            start += CHUNK
+        if len(keys) < 2:
+            return (keys[0], counts[0]) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+    def aligned(self, doc: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        found: dict[int, tuple[int, int, int]] = {}
+        if not self.ids or len(doc) < self.q:
+            return found
+        key, count = self.bands(doc)
+        for k in key[count >= self.least[key // OFFSET]]:
+            i, b = int(k // OFFSET), int(k % OFFSET) - OFFSET // 2
             best = banded(self.text[i], doc, b * (self.budget[i] + 1), (b + 2) * (self.budget[i] + 1), self.budget[i])
             if best and (i not in found or (best[2], best[0]) < (found[i][2], found[i][0])):
                 found[i] = best
-        return [{"item_id": self.ids[i], "start": int(at[s]), "end": int(at[e - 1]) + 1, "edits": d} for i, (s, e, d) in sorted(found.items())]
+        return found
 
 
 def banded(item: np.ndarray, doc: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -121,22 +161,28 @@ def banded(item: np.ndarray, doc: np.ndarray, low: int, high: int, budget: int)
     return (int(start[d]), int(end), int(cost[d])) if cost[d] <= budget and 0 <= start[d] < end <= len(doc) else None
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, edits: float = 0.08, block_chars: int = 16_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, edits: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
     """docs with hits: the benchmark items that occur in the text within edits * length edits, with place and edits.
 
-    benchmark (item_id, text) is searched in blocks of about block_chars characters, one after another, so that what goes to the
-    executors is bounded; each block reads the documents once. Null and empty texts have no hits; items that are null or shorter than q
-    characters as compared are left out; equal items are all named; repeated rows stay; empty tables give empty results or no hits.
-    Starts and ends count code points of the lower-cased text.
+    benchmark (item_id, text) is searched in blocks of about block_chars characters, whose index takes some 32 bytes a character. The documents are written
+    to the shared folder after each block but the last, so that one block's index is in memory at a time; each block reads the documents once.
+    Null and empty texts have no hits; texts of any length are searched whole. Null items and those without letters or digits are left out; items of fewer than q
+    characters as compared are found as whole words, unchanged; equal items are all named; repeated rows stay; empty tables give empty results or no hits; a column
+    named hits is replaced. Of an item's occurrences the one with the fewest edits is given, then the leftmost. Starts and ends count code points of the lower-cased text.
     """
+    lean_batches(docs.sparkSession)
     total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
-    hits = F.array().cast(HITS)
+    before, found = None, docs.withColumn("hits", F.array().cast(HITS))
     for block in range(blocks):
         part = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block))
         index = Items(sorted((r.item_id, r.text) for r in part.select("item_id", "text").collect()), q, edits)
-        hits = F.concat(hits, _searcher(index)(F.col("text")))
-    return docs.withColumn("hits", hits)
+        found = found.withColumn("hits", F.concat("hits", _searcher(index)(F.col("text"))))
+        if block < blocks - 1:
+            found = materialize(found, "searched")
+            discard(before)
+            before = found
+    return found
 
 
 def _searcher(index: Items):
