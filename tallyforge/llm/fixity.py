@@ -43,10 +43,24 @@ def leaves(records: DataFrame, id_col: str, url_col: str, body_col: str) -> Data
     )
 
 
-def parents(children: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """The level above: each child's digest is bound to its place before the group's digests are summed."""
-    bound = children.withColumn("_h", F.sha2(F.concat_ws("@", F.coalesce(F.col(place).cast("string"), F.lit("null")), F.col("digest")), 256))
-    return bound.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *combined("_h")).select(*keys, sealed("n").alias("digest"))
+def chained(children: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """The level above at most FANOUT children: their digests in order, each with its place and the byte offsets that it takes up below this node."""
+    kids = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), "n_bytes", "digest")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+
+    def link(state: Column, kid: Column) -> Column:
+        end = state["at"] + kid["n_bytes"]
+        line = F.concat(F.coalesce(kid["place"].cast("string"), F.lit("null")), F.lit("@"), state["at"].cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), kid["digest"], F.lit("\n"))
+        return F.struct(end.alias("at"), F.concat(state["text"], line).alias("text"))
+
+    chain = children.groupBy(*keys).agg(F.aggregate(kids, start, link).alias("_c"))
+    return chain.select(*keys, F.col("_c.at").alias("n_bytes"), F.sha2("_c.text", 256).alias("digest"))
+
+
+def root_of(shards: DataFrame) -> DataFrame:
+    """The root over any number of shards: each digest is bound to its shard and length, then they are summed."""
+    bound = shards.withColumn("_h", F.sha2(F.concat_ws("@", F.coalesce(F.col("shard").cast("string"), F.lit("null")), F.col("n_bytes").cast("string"), F.col("digest")), 256))
+    return bound.groupBy(F.lit("/").alias("root")).agg(F.count(F.lit(1)).alias("n"), *combined("_h")).select("root", sealed("n").alias("digest"))
 
 
 def descend(keys: list[str], left: DataFrame, right: DataFrame) -> DataFrame:
@@ -69,15 +83,14 @@ def merkle_audit(primary: DataFrame, replica: DataFrame, *, id_col: str = "page_
     Returns the primary's leaves with the byte offsets of their slots within the shard, and the damaged slots:
     slot, n_primary, n_replica, status (`corrupt`: as many records with other bytes; `missing`: fewer; `extra`: more).
 
-    Each side is a tree: record digests in slots, slots in ranges of 32 ids, ranges in shards of 1,024, shards in a root. Roots
-    are compared first; shards only if the roots differ, ranges in differing shards, slots in differing ranges. Null fields, empty
+    Each side is a tree: record digests in slots, slots in ranges of 32 ids, ranges in shards of 1,024, shards in a root. A range's and a shard's digest covers its
+    children in order with their byte offsets, counted from where it begins, so that damage changes the nodes above it only. Roots are compared first; shards only if the roots differ, ranges in differing shards, slots in differing ranges. Null fields, empty
     records, repeated rows, several records of one id and empty tables have defined digests; other columns are ignored.
     """
     sides = [materialize(leaves(t, id_col, url_col, body_col), "leaves") for t in (primary, replica)]
-    ranges = [materialize(parents(x, ["shard", "range"], "slot"), "ranges") for x in sides]
-    shards = [parents(x, ["shard"], "range") for x in ranges]
-    shards = [materialize(x, "shards") for x in shards]
-    roots = [parents(x.withColumn("root", F.lit("/")), ["root"], "shard").collect() for x in shards]  # a row each
+    ranges = [materialize(chained(x, ["shard", "range"], "slot"), "ranges") for x in sides]
+    shards = [materialize(chained(x, ["shard"], "range"), "shards") for x in ranges]
+    roots = [root_of(x).collect() for x in shards]  # a row each
     sides_differ = roots[0] != roots[1]
     bad_shards = materialize(descend(["shard"], *[x if sides_differ else x.limit(0) for x in shards]), "bad-shards")
     bad_ranges = materialize(descend(["shard", "range"], *[within(x, bad_shards, ["shard"]) for x in ranges]), "bad-ranges")

@@ -17,14 +17,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import label_sample
+from .shared import label_sample, lean_batches
 
-BITS = 13
+BITS = 15
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _letters: list[np.ndarray] = []
 
 
+def has_letters(text: str) -> bool:
+    """Whether any character is a letter; numerals like superscripts and fractions aren't."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def letter_table() -> np.ndarray:
     """Which code points of the first plane are letters. Those beyond it all count as letters."""
     if not _letters:
@@ -105,17 +110,19 @@ def fit_languages(docs: DataFrame, *, per_language: int = 400, n_landmarks: int
     return fit(x, [rows[i].lang for i in order], n_landmarks, ridge)
 
 
-def predict_languages(docs: DataFrame, model: Model | None, *, block: int = 256) -> DataFrame:
+def predict_languages(docs: DataFrame, model: Model | None, *, block: int = 128) -> DataFrame:
     """docs with lang_pred and score (0 to 1), from whole texts.
 
     A null text, one without letters and any text when there is no model get `und` and score 0. Equal texts get equal results, whatever
-    else their rows hold; ties go to the first language by name. An empty table gives an empty result; columns of the names added are replaced.
+    else their rows hold; texts of any length are read whole; ties go to the first language by name. An empty table gives an empty result; columns of the names added are replaced.
     """
+    lean_batches(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             name, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            at = [i for i, t in enumerate(texts) if t is not None and model and _LETTER.search(t)]
+            at = [i for i, t in enumerate(texts) if t is not None and model and has_letters(t)]
             for k in range(0, len(at), block):
                 part = at[k : k + block]
                 x = np.zeros((len(part), 1 << BITS), np.float32)

@@ -1,4 +1,7 @@
-"""URL rules and a weighted URL vocabulary matched by an Aho-Corasick automaton."""
+"""URL rules and a weighted URL vocabulary matched by an Aho-Corasick automaton.
+
+A vocabulary is a table of terms (term, weight, strict); read_vocabulary takes one of any source. STRICT and SOFT are a small default for tests and first runs.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,28 @@ SOFT = ("cheap", "free", "pills", "spam", "farm", "bonus", "win", "prize", "deal
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@dataclass(frozen=True)
+class Term:
+    text: str
+    weight: float = 1.0
+    strict: bool = False
+
+
+DEFAULT = tuple(Term(t, 2.0, True) for t in STRICT) + tuple(Term(t) for t in SOFT)
+#: Terms of a vocabulary, which goes to every worker.
+MOST_TERMS = 200_000
+
+
+def read_vocabulary(table: DataFrame) -> tuple[Term, ...]:
+    """The vocabulary of a table (term, weight, strict): lower-cased; null or empty terms are left out, a null weight is 1, and a term listed twice is strict if it
+    is so once and has its largest weight. More than MOST_TERMS raise ValueError."""
+    rows = table.select(F.translate("term", UPPER, LOWER).alias("term"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("strict", F.lit(False)).alias("strict")).where("term <> ''")
+    found = rows.groupBy("term").agg(F.max("weight").alias("weight"), F.max("strict").alias("strict")).limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return tuple(Term(r.term, float(r.weight), bool(r.strict)) for r in sorted(found))
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -40,45 +65,43 @@ def rule_fits(rule: Rule, host: Column, path: Column) -> Column:
     return ((host == rule.host) | F.endswith(host, F.lit(f".{rule.host}"))) & F.startswith(path, F.lit(rule.path))
 
 
-def vocabulary_hits(strict: Sequence[str], soft: Sequence[str]):
-    """A pandas UDF: numbers of occurrences of strict terms, of soft terms and of different soft terms in a text.
+def vocabulary_hits(vocabulary: Sequence[Term]):
+    """A pandas UDF: numbers of occurrences of strict terms, of soft terms and of different soft terms in a text, and the weight of its different terms.
 
     A term counts where no ASCII letter or digit touches it. The automaton is built once in each Python worker.
     """
-    terms = [(t, True) for t in strict] + [(t, False) for t in soft if t not in strict]
+    terms = {t.text: t for t in sorted(vocabulary, key=lambda t: t.strict)}
 
-    @F.pandas_udf("strict long, soft long, distinct_soft long")
+    @F.pandas_udf("strict long, soft long, distinct_soft long, weight double")
     def hits(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for term in terms:
-            automaton.add_word(term[0], term)
+        for term in terms.values():
+            automaton.add_word(term.text, term)
         automaton.make_automaton()
         touches = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
         for batch in texts:
             out = []
             for text in batch:
-                n_strict, soft_found = 0, []
-                for end, (term, is_strict) in automaton.iter(text or ""):
-                    start = end - len(term)
+                found = []
+                for end, term in automaton.iter(text or "") if terms else ():
+                    start = end - len(term.text)
                     if (start < 0 or text[start] not in touches) and (end + 1 == len(text) or text[end + 1] not in touches):
-                        if is_strict:
-                            n_strict += 1
-                        else:
-                            soft_found.append(term)
-                out.append((n_strict, len(soft_found), len(set(soft_found))))
-            yield pd.DataFrame(out, columns=["strict", "soft", "distinct_soft"])
+                        found.append(term)
+                n_strict, distinct = sum(t.strict for t in found), set(found)
+                out.append((n_strict, len(found) - n_strict, sum(not t.strict for t in distinct), sum(sorted(t.weight for t in distinct))))
+            yield pd.DataFrame(out, columns=["strict", "soft", "distinct_soft", "weight"]).astype({"weight": "float64"})
 
     return hits
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = 2) -> DataFrame:
-    """pages with host, path, rule, verdict and the vocabulary's counts.
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, vocabulary: Sequence[Term] = DEFAULT, soft_hits: int = 2, soft_weight: float | None = None) -> DataFrame:
+    """pages with host, path, rule, verdict and the vocabulary's counts and weight.
 
-    The longest fitting rule decides; else one strict term or soft_hits different soft terms block. A url that is null
+    The longest fitting rule decides; else one strict term or soft_hits different soft terms block; with soft_weight, their different terms must weigh as much as well. A url that is null
     or has no `://` has an empty host and path; its text is still searched (null: no hits), so it is allowed unless
-    the vocabulary blocks it. Rows are judged one by one: repeated rows stay, empty tables give empty results. Columns of pages
+    the vocabulary blocks it. Rows are judged one by one: repeated rows stay, urls of any length are searched whole, empty tables give empty results. Columns of pages
     of the names added here are replaced.
     """
     out = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
@@ -88,13 +111,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, strict: Sequence[str]
         hit = F.struct(F.lit(str(rule)).alias("rule"), F.lit(rule.verdict).alias("verdict"))
         found = F.when(fits, hit) if found is None else found.when(fits, hit)
     out = out.withColumn("_rule", F.lit(None).cast("struct<rule:string,verdict:string>") if found is None else found)
-    out = out.withColumn("_hits", vocabulary_hits(strict, soft)(F.translate(F.col("url"), UPPER, LOWER)))
-    blocked = (F.col("_hits.strict") > 0) | (F.col("_hits.distinct_soft") >= soft_hits)
+    out = out.withColumn("_hits", vocabulary_hits(vocabulary)(F.translate(F.col("url"), UPPER, LOWER)))
+    several = F.col("_hits.distinct_soft") >= soft_hits
+    if soft_weight is not None:
+        several &= F.col("_hits.weight") >= soft_weight
+    blocked = (F.col("_hits.strict") > 0) | several
     return (
         out.withColumn("rule", F.col("_rule.rule"))
         .withColumn("verdict", F.coalesce(F.col("_rule.verdict"), F.when(blocked, "block").otherwise("allow")))
         .withColumn("strict_hits", F.col("_hits.strict"))
         .withColumn("soft_hits", F.col("_hits.soft"))
         .withColumn("distinct_soft_hits", F.col("_hits.distinct_soft"))
+        .withColumn("weight", F.col("_hits.weight"))
         .drop("_rule", "_hits")
     )
