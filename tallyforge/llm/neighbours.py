@@ -118,7 +118,7 @@ def search(
     """The k rows with the largest inner product for each row that `queries` selects, its own id excepted: query_id, rank, vec_id, score.
 
     Every row is indexed. About `sample` rows chosen by a hash of the id serve for fitting: three quarters for the centroids of both halves (n_centroids, at most one for
-    eight of these rows), the others to measure the share of the rows that a query must visit for the wanted recall. That share falls as tables grow, for the k nearest
+    eight of these rows), the others to measure the share of the rows that a query must visit for the wanted recall (all for a recall of 1). That share falls as tables grow, for the k nearest
     are then nearer.
 
     Rows lie on shelves of consecutive first centroids. A shelf is dealt out in parts of at most about part_rows rows, and a query goes to the shelves that it visits, in blocks of
@@ -147,7 +147,7 @@ def search(
     fit, test = (x[np.arange(len(x)) % 4 != 3], x[np.arange(len(x)) % 4 == 3]) if len(x) > 3 else (x, x)
     wide = min(n_centroids, 255 * RUN, max(1, len(fit) // 8))
     c1, c2 = centroids(fit[:, :half], wide), centroids(fit[:, half:] if d > 1 else np.zeros((len(fit), 1)), wide)
-    share = share_for(recall, test if d > 1 else np.pad(test, ((0, 0), (0, 1))), c1, c2, max(1, round(k * len(test) / total)))
+    share = 1.0 if recall >= 1 else share_for(recall, test if d > 1 else np.pad(test, ((0, 0), (0, 1))), c1, c2, max(1, round(k * len(test) / total)))
 
     def halves(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return m[:, :half], m[:, half:] if d > 1 else np.zeros((len(m), 1))
