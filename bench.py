@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tallyforge import queries
 from tallyforge.session import local_session, ship
 
-HEADLINE = ("pass_at_1", "tau_b_variant", "bootstrap_ci", "pairwise_divergence", "tau_by_level", "degrade_rows", "equivalence_verdict", "kill_rate", "bleu1", "completeness", "token_bucket", "cache_miss", "wilcoxon_w")
+HEADLINE = ("pass_at_1", "tau_b_variant", "bootstrap_ci", "pairwise_divergence", "tau_by_level", "degrade_rows", "equivalence_verdict", "kill_rate", "bleu1", "bigram_precision", "sbc_score", "completeness", "token_bucket", "cache_miss", "wilcoxon_w")
 RUNS = 3
 
 

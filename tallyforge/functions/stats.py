@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -68,6 +69,25 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1.0 - upper)
 
 
+def student_tails(t: Column, freedom: Column) -> Column:
+    """P(|T| > t) for t >= 0 and a whole number of degrees of freedom, by the finite series in the angle whose tangent is t / sqrt(freedom); beyond 2,000 degrees by the
+    normal distribution."""
+    angle = F.atan(t / F.sqrt(freedom))
+    square, odd = F.pow(F.cos(angle), 2), freedom % 2 == 1
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(2000), F.floor((freedom - 1) / 2)).cast("int")))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(state: Column, i: Column) -> Column:
+        factor = F.when(odd, 2.0 * i / (2.0 * i + 1.0)).otherwise((2.0 * i - 1.0) / (2.0 * i))
+        last = F.floor((freedom - F.when(odd, 3).otherwise(2)) / 2)
+        term = F.when(i <= last, state["term"] * factor * square).otherwise(0.0)
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+    series = F.aggregate(steps, start, add, lambda state: state["sum"])
+    inside = F.when(freedom == 1, 2 * angle / F.lit(math.pi)).when(odd, 2 / F.lit(math.pi) * (angle + F.sin(angle) * F.cos(angle) * series)).otherwise(F.sin(angle) * series)
+    return F.when(freedom > 2000, 2 * normal_tail(t)).otherwise(F.greatest(F.lit(0.0), 1 - inside))
+
+
 NORMAL_TAIL_SQL = """(CASE WHEN {z} >= 0 THEN 1 ELSE 0 END + CASE WHEN {z} >= 0 THEN -1 ELSE 1 END * (1 - 0.5E0 * exp(-({z}) * ({z}) / 2E0)
  * (1E0 / (1 + 0.3275911E0 * abs({z}) / sqrt(2E0))) * (0.254829592E0 + (1E0 / (1 + 0.3275911E0 * abs({z}) / sqrt(2E0))) * (-0.284496736E0 + (1E0 / (1 + 0.3275911E0 * abs({z}) / sqrt(2E0)))
  * (1.421413741E0 + (1E0 / (1 + 0.3275911E0 * abs({z}) / sqrt(2E0))) * (-1.453152027E0 + (1E0 / (1 + 0.3275911E0 * abs({z}) / sqrt(2E0))) * 1.061405429E0))))))"""

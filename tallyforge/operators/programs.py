@@ -13,10 +13,12 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mutants import TIMEOUT
+from ..functions import text as T
+from .attempts import pairwise_disagreement
+from .mutants import TIMEOUT, first_valid
 
 # What each operator may become, in the order that seeded choices depend on.
 ARITHMETIC = {
@@ -328,3 +330,64 @@ def _check_consistency(*solutions):
         outputs = [f(*args) for f in solutions]
         assert all(x == outputs[0] for x in outputs), f"solutions differ on {{args!r}}"
 """
+
+
+def program_of(raw: Column, prompt: Column, entry_point: Column) -> Column:
+    """The program that a completion makes: its body, after the prompt if it defines nothing."""
+    return T.let(T.extract_body(raw, entry_point), lambda body: T.assemble(prompt, body))
+
+
+def run_completions(completions: DataFrame, tasks: DataFrame, *, timeout: float = 10.0, deal: int | None = None) -> DataFrame:
+    """completions (task_id, completion and more) with passed and timed_out: each is run against its task's suite. Those without a task are left out; a null
+    completion fails. deal spreads the runs over so many partitions."""
+    known = completions.join(tasks.select("task_id", "prompt", "entry_point", "test"), "task_id")
+    program = F.coalesce(program_of(F.col("completion"), F.col("prompt"), F.col("entry_point")), F.lit("raise SystemExit(1)"))
+    programs = known.select(*completions.columns, program.alias("solution"), T.test_driver(F.col("test"), F.col("entry_point")).alias("test"))
+    ran = run_programs(programs.repartition(deal) if deal else programs, timeout=timeout)
+    return ran.select(*completions.columns, "passed", "timed_out")
+
+
+def shared_divergence(solutions: DataFrame, tasks: DataFrame, *, n_inputs: int = 500, timeout: float = 5.0, seed: int = 42, deal: int | None = None) -> DataFrame:
+    """How often a task's solutions (task_id, sol, completion) differ on shared inputs: task, n_solutions, n_inputs, total_comparisons, disagreements, rate.
+
+    Every (solution, input) is a row of its own, so the runs spread evenly. Errors and timeouts count as one output.
+    """
+    code = solutions.join(tasks.select("task_id", "prompt", "entry_point"), "task_id").select("task_id", "sol", "entry_point", program_of(F.col("completion"), F.col("prompt"), F.col("entry_point")).alias("code"))
+    calls = code.where(F.col("code").isNotNull()).join(input_table(tasks, n_inputs, seed), "task_id")
+    calls = calls.repartition(deal or calls.sparkSession.sparkContext.defaultParallelism * 4, "task_id", "sol", "ix")
+    ran = output_table(calls, timeout=timeout, shared=True)
+    return pairwise_disagreement(ran.select(F.col("task_id").alias("task"), "sol", F.col("ix").alias("inp"), "out"))
+
+
+MUTATOR = "You test test suites. Change one detail of the Python function so that it is wrong in a way a programmer might get it wrong. Keep it valid and answer with the whole function only."
+REVERSE = "Describe in plain words what the Python function does: its inputs, its result and its special cases. Answer with the description only."
+
+
+def mutation_requests(tasks: DataFrame, models: Sequence[str], n: int = 3) -> DataFrame:
+    """One request a task and model for n mutants: task_id, model, messages, temperature, max_tokens, n. Two more are asked for, as some replies won't do."""
+    ask = F.concat(F.lit("Put one fault into this function:\n\n"), "prompt", "canonical_solution")
+    grid = tasks.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    return grid.select("task_id", "model", T.messages(MUTATOR, ask).alias("messages"), F.lit(0.9).alias("temperature"), F.lit(1024).alias("max_tokens"), F.lit(n + 2).alias("n"))
+
+
+def generated_mutants(replies: DataFrame, tasks: DataFrame, n: int = 3) -> DataFrame:
+    """The first n replies (task_id, model, choices) of each task that parse and aren't the canonical program, as mutants named by their place among all."""
+    valid = F.pandas_udf(lambda raw: raw.map(valid_code), "string")
+    rows = replies.select("task_id", "model", F.posexplode("choices").alias("raw_ix", "raw")).withColumn("code", valid("raw"))
+    canon = tasks.select("task_id", T.strip(F.concat("prompt", "canonical_solution")).alias("_canon"))
+    fit = F.col("code").isNotNull() & (T.strip(F.col("code")) != F.col("_canon"))
+    picked = first_valid(rows.join(canon, "task_id").withColumn("_fit", fit).withColumn("task", F.concat_ws("\n", "task_id", "model")), "_fit", n)
+    return picked.select("task_id", "mutant_id", F.lit("LLM").alias("operator"), F.concat(F.lit("LLM-generated semantic mutant (model="), "model", F.lit(")")).alias("description"), "code")
+
+
+def reverse_requests(solutions: DataFrame, model: str) -> DataFrame:
+    """A request to describe each solution (task_id, sol, code)."""
+    ask = F.concat(F.lit("Function:\n\n"), "code")
+    return solutions.select("task_id", "sol", F.lit(model).alias("model"), T.messages(REVERSE, ask).alias("messages"), F.lit(0.3).alias("temperature"), F.lit(256).alias("max_tokens"), F.lit(1).alias("n"))
+
+
+def reverse_scores(replies: DataFrame, tasks: DataFrame) -> DataFrame:
+    """replies (task_id, sol, choices) with inferred_spec (the first choice, empty without any) and how it overlaps with the task's docstring, rounded to four places."""
+    both = replies.join(tasks.select("task_id", T.docstring_of(F.col("prompt")).alias("_doc")), "task_id").withColumn("inferred_spec", F.coalesce(F.get("choices", F.lit(0)), F.lit("")))
+    scores = {"semantic_score": T.bigram_precision, "bleu_score": T.unigram_precision, "completeness_score": T.completeness, "sbc_score": T.sbc}
+    return both.select("task_id", "sol", "inferred_spec", *[F.round(f(F.col("_doc"), F.col("inferred_spec")), 4).alias(name) for name, f in scores.items()])

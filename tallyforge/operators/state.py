@@ -71,7 +71,7 @@ def cache_misses(requests: DataFrame, responses: DataFrame, key: str = "key") ->
     return requests.join(responses.select(key), key, "left_anti")
 
 
-def token_slots(requests: DataFrame, *, arrival: str, order: Sequence[str], per_minute: float, bucket_us: int = 86_400_000_000) -> DataFrame:
+def token_slots(requests: DataFrame, *, arrival: str, order: Sequence[str], per_minute: float, bucket_us: int = 3_600_000_000) -> DataFrame:
     """When each request is sent under a minimum interval: slot_us, wait_us, from arrivals in microseconds.
 
     The i-th slot is i * interval plus the running maximum of arrival_j - j * interval. Rows are ranked within time buckets; each bucket's count and maximum

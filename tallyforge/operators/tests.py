@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import kendall_tau_b, normal_tail
+from ..functions.stats import kendall_tau_b, normal_tail, student_tails
+
+
+def counts_below(sizes: DataFrame, value: str, counts: Sequence[str], *partition: str, buckets: int = 64) -> DataFrame:
+    """sizes (one row a distinct value) with _below_<c> for each count: its sum over lesser values.
+
+    Without a partition, values are cut into buckets at approximate quantiles, which are constants of the plan: each bucket is one task of the window, and only
+    sums by bucket meet in one.
+    """
+    upto = lambda w: w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    if partition:
+        return sizes.withColumns({f"_below_{c}": none(F.sum(c).over(upto(Window.partitionBy(*partition)))) for c in counts})
+    cuts = sizes.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)])).first()[0] or []
+    sizes = sizes.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: F.col(value) > x)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sizes.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts]).select("_b", *[none(F.sum(f"_t_{c}").over(before)).alias(f"_o_{c}") for c in counts])
+    placed = sizes.join(F.broadcast(totals), "_b")
+    return placed.withColumns({f"_below_{c}": none(F.sum(c).over(upto(Window.partitionBy("_b")))) + F.col(f"_o_{c}") for c in counts}).drop("_b", *[f"_o_{c}" for c in counts])
 
 
 def average_ranks(df: DataFrame, value: str, out: str, *partition: str) -> DataFrame:
     """Adds ranks from 1, ties sharing their mean. Ranks come from counts of distinct values, so equal rows combine before the window."""
     sizes = df.groupBy(*partition, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = sizes.withColumn(out, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    ranks = counts_below(sizes, value, ["_c"], *partition).withColumn(out, F.col("_below__c") + (F.col("_c") + 1) / 2).drop("_c", "_below__c")
     return df.join(ranks, [*partition, value])
 
 
@@ -37,19 +56,32 @@ def cliffs_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     """P(x > y) - P(x < y) for the column v of a and of b: from counts by value, without pairing rows. NaN if either is empty."""
     both = a.select("v", F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(b.select("v", F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
     values = both.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"))
-    below = F.sum("b").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")
-    above = F.sum("b").over(Window.partitionBy()) - below - F.col("b")
-    sums = values.withColumn("s", F.col("a") * (below - above)).agg(F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    values = counts_below(values, "v", ["a", "b"])
+    # P(x > y) counts lesser y for each x, P(x < y) lesser x for each y
+    sums = values.withColumn("s", F.col("a") * F.col("_below_b") - F.col("b") * F.col("_below_a")).agg(F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return sums.select(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("s") / (F.col("a") * F.col("b"))).otherwise(F.lit(float("nan"))).alias("delta"))
 
 
 def kendall(pairs: DataFrame) -> DataFrame:
-    """tau-b of x and y over all rows, NaN if either is constant. For vectors over a dimension: they are gathered into one row."""
-    return pairs.agg(F.collect_list(F.struct("x", "y")).alias("p")).select(
-        kendall_tau_b(F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"]), guarded=False).alias("tau_b")
+    """tau-b of x and y over all rows and its p_value (normal approximation, ties corrected); NaN if either is constant. For vectors over a dimension: the pairs are
+    gathered into one row."""
+    tied = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.expr("t * (t - 1) / 2")).alias(f"{c}1"), F.sum(F.expr("t * (t - 1) * (t - 2)")).alias(f"{c}2"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).alias(f"{c}3"))
+    tau = pairs.agg(F.collect_list(F.struct("x", "y")).alias("p")).select(
+        F.size("p").cast("double").alias("n"), kendall_tau_b(F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"]), guarded=False).alias("tau_b")
     )
+    n, all_ = F.col("n"), F.col("n") * (F.col("n") - 1)
+    score = F.col("tau_b") * F.sqrt((all_ / 2 - F.col("x1")) * (all_ / 2 - F.col("y1")))
+    third = F.when(n > 2, F.col("x2") * F.col("y2") / (9 * all_ * F.nullif(n - 2, F.lit(0.0)))).otherwise(0.0)
+    spread = (all_ * (2 * n + 5) - F.col("x3") - F.col("y3")) / 18 + 2 * F.col("x1") * F.col("y1") / all_ + third
+    z = F.abs(score) / F.sqrt(spread)
+    p = F.when(F.isnan("tau_b"), F.lit(float("nan"))).otherwise(F.least(F.lit(1.0), 2 * normal_tail(z)))
+    return tau.join(F.broadcast(tied("x"))).join(F.broadcast(tied("y"))).select("tau_b", p.alias("p_value"))
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
+    """rho of the ranks of x and y and its p_value (Student's t with n - 2 degrees of freedom); NaN if either is constant."""
     ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
-    return ranked.agg(F.corr("rx", "ry").alias("rho"))
+    got = ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
+    p = F.when(F.isnan("rho") | (F.col("n") < 3), F.lit(float("nan"))).when(t.isNull(), 0.0).otherwise(student_tails(F.abs(t), F.col("n") - 2))
+    return got.select("rho", p.alias("p_value"))

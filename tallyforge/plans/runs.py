@@ -117,7 +117,7 @@ def progress(spark, sf_dir):
     return S.progress(done, 20000).withColumn("phase", F.coalesce("phase", F.lit("")))
 
 
-# Programs: a handful of tasks as a corpus has them.
+# Programs: kinds of tasks as a corpus has them.
 TASKS = [
     ("Bench/0", "def add(a: int, b: int) -> int:\n    \"\"\"Add.\"\"\"\n", "    return a + b\n", "def check(candidate):\n    assert candidate(1, 2) == 3\n    assert candidate(-1, 1) == 0\n", "add"),
     ("Bench/1", "def clamp(x: int, low: int, high: int) -> int:\n    \"\"\"Clamp x.\"\"\"\n", "    if x < low:\n        return low\n    if x > high:\n        return high\n    return x\n", "def check(candidate):\n    assert candidate(5, 0, 3) == 3\n    assert candidate(-5, 0, 3) == 0\n    assert clamp(1, 0, 3) == 1\n", "clamp"),
@@ -130,9 +130,18 @@ def task_frame(spark):
     return spark.createDataFrame(TASKS, corpus.TASK)
 
 
+def task_corpus(spark, sf_dir):
+    """A task for each benchmark item: its kind, the function's name and constants follow from the item."""
+    kinds = F.array(*[F.struct(*[F.lit(x).alias(c.split()[0]) for x, c in zip(t, corpus.TASK.split(", "), strict=True)]) for t in TASKS])
+    items = V.read(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"), F.get(kinds, (F.col("item_id") % len(TASKS)).cast("int")).alias("t"))
+    name = F.concat("t.entry_point", F.lit("_"), "item_id")
+    code = lambda c: F.replace(F.replace(F.col(f"t.{c}"), F.concat("t.entry_point", F.lit("(")), F.concat(name, F.lit("("))), F.lit("% 97"), F.concat(F.lit("% "), (F.col("n") % 89 + 11).cast("string")))
+    return items.select(F.concat(F.lit("Bench/"), "item_id").alias("task_id"), *[code(c).alias(c) for c in ("prompt", "canonical_solution", "test")], name.alias("entry_point"))
+
+
 def _mutants(operator):
     def run(spark, sf_dir):
-        return P.mutant_table(task_frame(spark), [operator]).select("task_id", "mutant_id", "description", "code")
+        return P.mutant_table(task_corpus(spark, sf_dir), [operator]).select("task_id", "mutant_id", "description", "code")
 
     return run
 
@@ -143,23 +152,23 @@ for _operator in P.OPERATORS:
 
 @query()
 def mutant_counts(spark, sf_dir):
-    return P.mutant_table(task_frame(spark)).groupBy("task_id", "operator").agg(F.count(F.lit(1)).alias("n"))
+    return P.mutant_table(task_corpus(spark, sf_dir)).groupBy("task_id", "operator").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def mutants_fallback(spark, sf_dir):
-    return P.fallback_table(task_frame(spark))
+    return P.fallback_table(task_corpus(spark, sf_dir))
 
 
 @query()
 def fuzz_inputs(spark, sf_dir):
-    return P.input_table(task_frame(spark), 20)
+    return P.input_table(task_corpus(spark, sf_dir), 20)
 
 
 @query()
 def sandbox_run(spark, sf_dir):
     """Kill tests: every mutant against its task's suite."""
-    tasks = task_frame(spark)
+    tasks = task_corpus(spark, sf_dir)
     programs = P.mutant_table(tasks).join(tasks.select("task_id", F.concat("test", F.lit("\ncheck("), "entry_point", F.lit(")\n")).alias("test")), "task_id")
     ran = P.run_programs(programs.withColumnRenamed("code", "solution").repartition(8, "task_id", "mutant_id"), timeout=5.0)
     return ran.select("task_id", "mutant_id", "operator", (~F.col("passed")).alias("is_killed"), "timed_out")
@@ -167,10 +176,51 @@ def sandbox_run(spark, sf_dir):
 
 @query()
 def degraded_suites(spark, sf_dir):
-    return P.degraded_suites(task_frame(spark), V.LEVELS)
+    return P.degraded_suites(task_corpus(spark, sf_dir), V.LEVELS)
 
 
 @query()
 def mutant_equivalence(spark, sf_dir):
-    tasks = task_frame(spark)
+    tasks = task_corpus(spark, sf_dir)
     return P.judge_mutants(tasks, P.mutant_table(tasks), n_inputs=6, timeout=5.0)
+
+
+def _solutions(spark, sf_dir):
+    """Three completions of each task: the canonical body, a fenced whole program and a body that returns nothing. A body is taken from its definition on, so the fenced
+    program of the kind that imports before it fails."""
+    tasks = task_corpus(spark, sf_dir)
+    fenced = F.concat(F.lit("Here:\n```python\n"), "prompt", "canonical_solution", F.lit("```\n"))
+    return tasks, tasks.select("task_id", F.posexplode(F.array("canonical_solution", fenced, F.lit("    return None\n"))).alias("sol", "completion"))
+
+
+@query("SELECT 'Bench/' || item_id AS task_id, CAST(sol AS INTEGER) AS sol, sol = 0 OR (sol = 1 AND item_id % 4 <> 2) AS passed, false AS timed_out FROM benchmark, range(3) s(sol)")
+def completion_runs(spark, sf_dir):
+    tasks, solutions = _solutions(spark, sf_dir)
+    return P.run_completions(solutions, tasks, deal=8).drop("completion")
+
+
+@query("SELECT 'Bench/' || item_id AS task, CAST(3 AS BIGINT) AS n_solutions, CAST(4 AS BIGINT) AS n_inputs, CAST(12 AS BIGINT) AS total_comparisons, CAST(CASE item_id % 4 WHEN 2 THEN 12 ELSE 8 END AS BIGINT) AS disagreements, CASE item_id % 4 WHEN 2 THEN 1E0 ELSE round(2 / 3::DOUBLE, 6) END AS rate FROM benchmark")
+def solution_divergence(spark, sf_dir):
+    tasks, solutions = _solutions(spark, sf_dir)
+    return P.shared_divergence(solutions, tasks, n_inputs=4).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT 'Bench/' || item_id AS task_id, 'LLM_' || i AS mutant_id FROM benchmark, (VALUES (1), (3), (4)) v(i)")
+def llm_mutants(spark, sf_dir):
+    """Replies to the mutation requests: the canonical program, a fenced fault, one that doesn't parse, and three more faults; the first three that do are taken."""
+    tasks = task_corpus(spark, sf_dir)
+    program = F.concat("prompt", "canonical_solution")
+    fault = F.concat(F.lit("```python\n"), F.replace(program, F.lit("return "), F.lit("return not ")), F.lit("\n```"))
+    choices = F.array(program, fault, F.lit("def broken("), *[F.concat(program, F.lit(f"\nx = {i}\n")) for i in range(3)])
+    asked = P.mutation_requests(tasks, ["m"]).select("task_id", "model")
+    return P.generated_mutants(asked.join(tasks.select("task_id", choices.alias("choices")), "task_id"), tasks).select("task_id", "mutant_id")
+
+
+@query("""SELECT 'Bench/' || item_id AS task_id, CAST(0 AS INTEGER) AS sol, round(CASE item_id % 4 WHEN 2 THEN 1.0E0 / 3 WHEN 3 THEN 0.5E0 ELSE 0.0E0 END, 4) AS semantic_score FROM benchmark""")
+def reverse_semantics(spark, sf_dir):
+    """Bigram overlap of inferred specs with the docstrings of four kinds of tasks."""
+    tasks = task_corpus(spark, sf_dir)
+    specs = F.array(F.lit("add two numbers"), F.lit("limits x"), F.lit("the sum of digits"), F.lit("to upper case."))
+    kind = (F.substring_index("task_id", "/", -1).cast("int") % 4).cast("int")
+    replies = tasks.select("task_id", F.lit(0).alias("sol"), F.array(F.get(specs, kind)).alias("choices"))
+    return P.reverse_scores(replies, tasks).select("task_id", "sol", "semantic_score")

@@ -278,11 +278,30 @@ def kendall_raw(spark, sf_dir):
     return T.kendall(_xy(spark, sf_dir)).select(rounded("tau_b", 6).alias("tau_b"))
 
 
+_TIED = ", ".join(f"{c} AS (SELECT sum(t * (t - 1) / 2E0) AS {c}1, sum(t * (t - 1E0) * (t - 2)) AS {c}2, sum(t * (t - 1E0) * (2 * t + 5)) AS {c}3 FROM (SELECT count(*) AS t FROM xy GROUP BY {c[1]}))" for c in ("tx", "ty"))
+
+
+@query(f"""{_XY}, {_TIED}, s AS (SELECT sum(sign(b.x - a.x) * sign(b.y - a.y))::DOUBLE AS s FROM xy a JOIN xy b ON a.task < b.task), n AS (SELECT count(*)::DOUBLE AS n FROM xy),
+z AS (SELECT abs(s) / sqrt((n * (n - 1) * (2 * n + 5) - tx3 - ty3) / 18E0 + 2 * tx1 * ty1 / (n * (n - 1)) + tx2 * ty2 / (9 * n * (n - 1) * (n - 2))) AS z FROM s, n, tx, ty)
+SELECT round(least(1E0, 2 * {NORMAL_TAIL_SQL.format(z="z")}), 6) AS p_value FROM z""")
+def kendall_p(spark, sf_dir):
+    return T.kendall(_xy(spark, sf_dir)).select(rounded("p_value", 6).alias("p_value"))
+
+
 @query(f"{_XY}, r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2E0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2E0 AS ry FROM xy) SELECT round(corr(rx, ry), 6) AS rho FROM r")
 def spearman_rho(spark, sf_dir):
     return T.spearman(_xy(spark, sf_dir)).select(rounded("rho", 6).alias("rho"))
 
 
+@query(f"""{_XY}, r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2E0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2E0 AS ry FROM xy),
+t AS (SELECT count(*) - 2 AS f, abs(corr(rx, ry)) * sqrt((count(*) - 2) / (1 - corr(rx, ry) * corr(rx, ry))) AS t FROM r), a AS (SELECT f, f % 2 AS odd, atan(t / sqrt(f)) AS a FROM t),
+k AS (SELECT a.*, j, CASE WHEN j = 0 THEN 0E0 WHEN odd = 1 THEN ln(2E0 * j / (2 * j + 1)) ELSE ln((2E0 * j - 1) / (2 * j)) END AS l FROM a, range(0, 1000) s(j) WHERE j <= (f - CASE WHEN odd = 1 THEN 3 ELSE 2 END) // 2),
+c AS (SELECT *, exp(sum(l) OVER (ORDER BY j)) * power(cos(a), 2 * j) AS term FROM k), s AS (SELECT any_value(odd) AS odd, any_value(a) AS a, sum(term) AS s FROM c)
+SELECT round(1 - CASE WHEN odd = 1 THEN 2 / pi() * (a + sin(a) * cos(a) * s) ELSE sin(a) * s END, 6) AS p_value FROM s""")
+def spearman_p(spark, sf_dir):
+    return T.spearman(_xy(spark, sf_dir)).select(rounded("p_value", 6).alias("p_value"))
+
+
 @query(f"{BY_LEVEL}, f AS (SELECT model, level, count(*) FILTER (passed) * 100.0E0 / count(*) AS p FROM leveled GROUP BY 1, 2) SELECT model, " + ", ".join(f"round(max(p) FILTER (level = {x}E0), 6) AS level_{int(x * 100)}" for x in V.LEVELS) + " FROM f GROUP BY 1")
 def fig_heatmap(spark, sf_dir):
     got = _leveled(spark, sf_dir).groupBy("model").pivot("level", list(V.LEVELS)).agg(rounded(F.count_if("passed") * 100.0 / F.count(F.lit(1)), 6))

@@ -100,3 +100,8 @@ def read_completions(spark: SparkSession, path: str) -> DataFrame:
 def write_results(rows: DataFrame, path: str, partition: str = "task_label") -> None:
     """Results by task; Spark's commit protocol leaves a task's folder whole or absent."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def export_results(rows: DataFrame, path: str, partition: str = "task_label") -> None:
+    """The same as JSON documents, for readers without Parquet."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).json(path)

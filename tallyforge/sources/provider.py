@@ -6,15 +6,20 @@ import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A provider: (model, messages, temperature, max_tokens, n) -> completions.
 Provider = Callable[[str, list[dict], float, int, int], list[str]]
 
 
+# The stub's text before and after the model.
+MOCK = ("# mock [", "]\ndef solution():\n    pass\n")
+
+
 class Busy(RuntimeError):
     """The provider asks for a later try (HTTP 429 or 5xx)."""
 
@@ -25,8 +30,8 @@ def request_grid(tasks: DataFrame, relations: Sequence[str], models: Sequence[st
 
 
 def mock_completions(requests: DataFrame, n: int) -> DataFrame:
-    """n equal stubs a request, for runs without a provider."""
-    stub = F.concat(F.lit("# mock ["), F.col("model"), F.lit("]\ndef solution():\n    pass\n"))
+    """n equal stubs a request, for runs without a provider; they are never cached."""
+    stub = F.concat(F.lit(MOCK[0]), F.col("model"), F.lit(MOCK[1]))
     return requests.select("*", F.posexplode(F.array_repeat(stub, n)).alias("sample_ix", "completion"))
 
 
@@ -42,22 +47,62 @@ def retried(call: Callable[[], list[str]], *, attempts: int = 5, base: float = 2
     raise ValueError("attempts must be positive")
 
 
-def complete(requests: DataFrame, provider: Provider, *, temperature: float = 0.8, max_tokens: int = 1024, n: int = 1, in_flight: int = 5, attempts: int = 5) -> DataFrame:
-    """requests (key, model, messages as JSON) with choices. At most in_flight calls of a partition run at once; a failed request has no choices."""
+def complete(
+    requests: DataFrame,
+    provider: Provider,
+    *,
+    temperature: float = 0.8,
+    max_tokens: int = 1024,
+    n: int = 1,
+    in_flight: int = 5,
+    requests_per_minute: float | None = None,
+    lanes: int = 1,
+    attempts: int = 5,
+    clock: Callable[[], float] = time.monotonic,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """requests (key, model, messages as JSON) with choices; a failed request has no choices.
+
+    Requests are dealt to `lanes` partitions, each with its share of the calls in flight and of the rate, so both caps hold for the whole run: at most in_flight
+    calls (one a lane at least) and one every 60 / requests_per_minute seconds. A lane starts its calls in turn.
+    """
+    width, interval = max(1, in_flight // lanes), 60.0 * lanes / max(requests_per_minute, 0.1) if requests_per_minute else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(in_flight) as pool:
+        lock, last = Lock(), [-interval]
+
+        def paced() -> None:
+            with lock:
+                if (wait := last[0] + interval - clock()) > 0:
+                    sleep(wait)
+                last[0] = clock()
+
+        def one(row) -> list[str]:
+            paced()
+            try:
+                return retried(lambda: provider(row.model, json.loads(row.messages), temperature, max_tokens, n), attempts=attempts)
+            except Exception:  # noqa: BLE001  the provider's failure is this row's result
+                return []
+
+        with ThreadPoolExecutor(width) as pool:
             for pdf in batches:
+                yield pd.DataFrame({"key": pdf["key"], "choices": list(pool.map(one, pdf.itertuples()))})
 
-                def one(row) -> list[str]:
-                    try:
-                        return retried(lambda: provider(row.model, json.loads(row.messages), temperature, max_tokens, n), attempts=attempts)
-                    except Exception:  # noqa: BLE001  the provider's failure is this row's result
-                        return []
+    return requests.select("key", "model", "messages").repartition(lanes).mapInPandas(run, "key string, choices array<string>")
+
+
+CACHED = "key string, choices array<string>"
+
+
+def read_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """The cache in a folder of JSON lines. A corrupt entry, or one without key or choices, is a miss; of several for one key one counts."""
+    rows = spark.read.text(folder).select(F.from_json("value", CACHED).alias("e")).select("e.*")
+    return rows.where(F.col("key").isNotNull() & F.col("choices").isNotNull()).dropDuplicates(["key"])
 
-                yield pd.DataFrame({"key": pdf["key"], "choices": list(pool.map(one, pdf.itertuples()))})
 
-    return requests.select("key", "model", "messages").mapInPandas(run, "key string, choices array<string>")
+def write_cache(fresh: DataFrame, folder: str) -> None:
+    """Adds entries; requests that failed aren't kept."""
+    fresh.where(F.size("choices") > 0).select("key", "choices").write.mode("append").json(folder)
 
 
 def through_cache(requests: DataFrame, cache: DataFrame, provider: Provider, **options) -> tuple[DataFrame, DataFrame]:

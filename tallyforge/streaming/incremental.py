@@ -15,9 +15,18 @@ def follow_attempts(spark: SparkSession, path: str, schema: StructType, files_pe
 
 
 def running_rates(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps pass rates by cell in `out`: every micro-batch replaces the table by the counts over all attempts so far."""
+    """Keeps pass rates by cell below `out`: every micro-batch writes the counts over all attempts so far to a folder of its own, so that a crash leaves the one
+    before whole. latest_rates reads the last one that was finished."""
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        pass_rates(batch).write.mode("overwrite").parquet(out)
+        pass_rates(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return attempt_counts(stream, CELL).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace).trigger(availableNow=True).start()
+
+
+def latest_rates(spark: SparkSession, out: str) -> DataFrame:
+    """The rates of the last batch whose folder is finished."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    last = max(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+    return spark.read.parquet(f"{out}/batch={last}")

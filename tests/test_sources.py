@@ -82,11 +82,11 @@ def test_config(tmp_path):
 
 
 def test_incremental(spark, tmp_path):
-    from tallyforge.streaming.incremental import follow_attempts, running_rates
+    from tallyforge.streaming.incremental import follow_attempts, latest_rates, running_rates
 
     rows = spark.createDataFrame([(1, "r", "m", 0, True), (1, "r", "m", 1, False)], "task int, relation string, model string, sample_ix int, passed boolean")
     for turn in range(2):
         rows.write.mode("append").parquet(str(tmp_path / "in"))
         running_rates(follow_attempts(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-        got = spark.read.parquet(str(tmp_path / "out")).first()
+        got = latest_rates(spark, str(tmp_path / "out")).first()
         assert (got.n, got.correct, got.pass_at_1) == (2 * (turn + 1), turn + 1, 0.5)
