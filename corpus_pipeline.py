@@ -15,7 +15,7 @@ LANGUAGE_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told."""
+    """Drops documents whose language can't be told: those whose text is null, empty or without letters too. Repeated rows stay; other columns are left out."""
     model = language.fit_languages(docs.where(in_training(F.col("doc_id"))))
     seen = language.predict_languages(docs.select(*COLUMNS), model)
     return seen.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*COLUMNS)
@@ -36,13 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null and empty texts stay, as do repeated rows; an empty benchmark drops nothing."""
     found = decontamination.find_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(*COLUMNS)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind."""
+    """Replaces personal data by its kind and counts n_chars anew where it does. Null and empty texts stay as they are, as do repeated rows."""
     found = pii.redact_private(docs.select(*COLUMNS), pii.fit_tagger(docs.select("doc_id", "text")))
     return found.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
