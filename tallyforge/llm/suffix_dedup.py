@@ -10,6 +10,11 @@ its place, so what they cover is one run of bytes, fixed by the largest and the
    prefix it shares with the one before and the rest. Equal ones are stored once. These runs are exchanged by their first GRAM bytes.
 3. A loser tree merges the runs of a part. It compares two heads only beyond the prefixes known to be shared, and gives each suffix with
    its common prefix with the one before. From these, and from the sorted bytes before the anchors, come the classes of equal windows for every d.
+
+A string that anchors windows at very many places would send all of them to one part. Its contexts (all bytes of an anchor's windows) are first counted by
+digest: where one occurs twice, all its windows repeat, and one of its places stands for the rest. The windows of those are cut by d into pieces of STEP.
+All windows of a piece hold the same bytes around the anchor, which become the key of exchange in place of the GRAM bytes: a piece whose key occurs
+once is settled, others are merged as above, and where even a piece's key is that common its windows are counted by digest, one by one.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from .shared import gram_hash, materialize
 SIZE = 400
 GRAM = 240
 SPAN = SIZE - GRAM + 1
+STEP = 20
 
 
 def to_bytes(text: str | None) -> bytes:
@@ -179,10 +185,10 @@ def run_rows(parts: int, batch: int = 4 << 20):
             for doc, text_hash, text, found in pdf.itertuples(index=False):
                 raw = to_bytes(text)
                 size += len(raw)
-                for a in sorted({(x["place"], x["least"], x["most"]) for x in found}):
-                    place, least, most = a
+                for place, least, most, piece in sorted({(x["place"], x["least"], x["most"], x["piece"]) for x in found}):
                     suffix = raw[place : place + SIZE - least]
-                    held.setdefault((suffix + raw[place - most : place][::-1], len(suffix), least, most), []).append((doc, text_hash, place))
+                    key = kernel(raw, place, least) if piece else suffix[:GRAM]
+                    held.setdefault((suffix + raw[place - most : place][::-1], len(suffix), least, most, zlib.crc32(key)), []).append((doc, text_hash, place))
                 if size >= batch:
                     yield encode(held)
                     held, size = {}, 0
@@ -192,7 +198,7 @@ def run_rows(parts: int, batch: int = 4 << 20):
     def encode(held: dict[tuple, list]) -> pd.DataFrame:
         by: dict[int, list] = {}
         for key in sorted(held):
-            by.setdefault(zlib.crc32(key[0][:GRAM]) % parts, []).append(key)
+            by.setdefault(key[4] % parts, []).append(key)
         out = []
         for part, keys in by.items():
             shared, rests, lengths = front_code([k[0] for k in keys])
@@ -204,6 +210,69 @@ def run_rows(parts: int, batch: int = 4 << 20):
     return rows
 
 
+def kernel(raw: bytes, place: int, d: int) -> bytes:
+    """The bytes that all windows of d's piece hold around the anchor at `place`."""
+    low = d - d % STEP
+    return raw[place - low : place + SIZE - min(low + STEP, SPAN) + 1]
+
+
+CONTEXT = "context binary, doc bigint, text_hash bigint, place int, least smallint, most smallint, pieces array<struct<least:smallint,most:smallint,key:binary>>"
+
+
+def context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of the anchors' contexts and of the kernels of their pieces."""
+    for pdf in batches:
+        out = []
+        for doc, text_hash, text, found in pdf.itertuples(index=False):
+            raw = to_bytes(text)
+            for place, least, most in sorted({(x["place"], x["least"], x["most"]) for x in found}):
+                whole = raw[place - most : place + SIZE - least]
+                pieces = []
+                for low in range(least - least % STEP, most + 1, STEP):
+                    key = hashlib.md5(b"%d:" % low + kernel(raw, place, low)).digest()
+                    pieces.append({"least": max(low, least), "most": min(low + STEP - 1, most), "key": key})
+                out.append((hashlib.md5(b"%d:%d:" % (least, most) + whole).digest(), doc, text_hash, place, least, most, pieces))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXT.split(", ")[:7]])
+
+
+def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(window, doc, text_hash, start) of each window of the pieces found, by digest."""
+    for pdf in batches:
+        out = []
+        for doc, text_hash, text, found in pdf.itertuples(index=False):
+            raw = to_bytes(text)
+            starts = {x["place"] - d for x in found for d in range(x["least"], x["most"] + 1)}
+            out += [(hashlib.md5(raw[at : at + SIZE]).digest(), doc, text_hash, at) for at in sorted(starts)]
+        yield pd.DataFrame(out, columns=["window", "doc", "text_hash", "start"])
+
+
+def with_texts(long: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The texts that have any of the anchors, with these as found."""
+    fields = [c for c in ("place", "least", "most", "piece") if c in anchors.columns]
+    by_doc = anchors.groupBy("doc", "text_hash").agg(F.collect_list(F.struct(*fields)).alias("found"))
+    return long.join(by_doc, ["doc", "text_hash"]).select("doc", "text_hash", "text", "found")
+
+
+def split_common(long: DataFrame, common: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Of anchors whose GRAM bytes are common: the pieces that are left to merge, at most `limit` different contexts a key, and the intervals settled already.
+
+    Counts are taken by 128-bit digest and combined before they are exchanged; they are written, so that the joins with them can split a common key's rows.
+    """
+    places = materialize(with_texts(long, common).mapInPandas(context_rows, CONTEXT), "contexts")
+    one = F.struct("doc", "text_hash", "place")
+    contexts = materialize(places.groupBy("context").agg(F.count(F.lit(1)).alias("_n"), F.min(one).alias("one"), F.first("pieces").alias("pieces")), "distinct-contexts")
+    again = contexts.where("_n > 1").select("context")
+    equal = places.join(again, "context", "left_semi").select("doc", "text_hash", (F.col("place") - F.col("most")).alias("start"), (F.col("place") + SIZE - F.col("least")).alias("end"))
+    pieces = contexts.select("one.*", F.explode("pieces").alias("p")).select("doc", "text_hash", "place", "p.*")
+    keys = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "piece-keys")
+    shared = pieces.join(keys, "key").select("doc", "text_hash", "place", "least", "most", "_n")
+    merge = shared.where(F.col("_n") <= limit).drop("_n")
+    windows = materialize(with_texts(long, shared.where(F.col("_n") > limit)).mapInPandas(window_rows, "window binary, doc bigint, text_hash bigint, start bigint"), "windows")
+    twice = materialize(windows.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("window"), "repeated-windows")
+    single = windows.join(twice, "window", "left_semi").select("doc", "text_hash", "start", (F.col("start") + SIZE).alias("end"))
+    return merge, equal.unionByName(single)
+
+
 def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merges the runs of one part: (doc, text_hash, start, end) of the bytes that repeating windows cover around each anchor."""
     data = [{c: np.frombuffer(row[c], kind) for c, kind in FIELDS} | {c: np.frombuffer(row[c], np.int64) for c in ("doc", "text_hash", "place")} for row in pdf.to_dict("records")]
@@ -296,19 +365,26 @@ def remove_repeats(docs: DataFrame, *, part_rows: int = 30_000) -> DataFrame:
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), spans (start and end in bytes) and kept_sha256, one row a row of docs.
     A null text is empty; texts under SIZE bytes keep all; overlapping occurrences count; repeated rows are places of their own; an
-    empty table gives an empty result; a null doc_id is allowed; other columns are ignored.
+    empty table gives an empty result; a null doc_id is allowed; other columns are ignored. A very long text is held whole by one task, with 8 bytes or so a byte.
+
+    A part of the merge holds about part_rows anchors; strings that anchor more windows than that are split before (split_common).
     """
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     long = keyed.where(F.octet_length("text") >= SIZE)
     found = materialize(long.select("doc", "text_hash", "text").mapInPandas(anchor_rows, "doc bigint, text_hash bigint, gram bigint, place int, least smallint, most smallint"), "anchors")
     # written first, so that the join below reads plain exchanges and can split a common gram's rows
-    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram"), "grams")
-    candidates = materialize(found.join(twice, "gram", "left_semi").select("doc", "text_hash", F.struct("place", "least", "most").alias("anchor")), "candidates")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // part_rows))
-    by_doc = candidates.groupBy("doc", "text_hash").agg(F.collect_list("anchor").alias("found"))
-    texts = long.join(by_doc, ["doc", "text_hash"]).select("doc", "text_hash", "text", "found")
-    runs = texts.mapInPandas(run_rows(parts), RUN)
+    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram", (F.col("_n") > part_rows).alias("common")), "grams")
+    candidates = materialize(found.join(twice, "gram").select("doc", "text_hash", "place", "least", "most", "common"), "candidates")
+    n, n_common = candidates.agg(F.count(F.lit(1)), F.count_if("common")).first()
+    anchors_left, settled = candidates.where("NOT common").select("doc", "text_hash", "place", "least", "most", F.lit(False).alias("piece")), None
+    if n_common:
+        pieces, settled = split_common(long, candidates.where("common").drop("common"), part_rows)
+        anchors_left = anchors_left.unionByName(pieces.withColumn("piece", F.lit(True)))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // part_rows))
+    runs = with_texts(long, anchors_left).mapInPandas(run_rows(parts), RUN)
     intervals = materialize(runs.groupBy("part").applyInPandas(repeats, "doc bigint, text_hash bigint, start bigint, end bigint"), "intervals")
+    if settled is not None:
+        intervals = intervals.unionByName(settled)
     removed = intervals.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     cut = F.pandas_udf(without, "n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
     return keyed.join(removed, ["doc", "text_hash"], "left").select("doc_id", cut("text", "found").alias("c")).select("doc_id", "c.*")
