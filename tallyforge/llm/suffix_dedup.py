@@ -360,25 +360,25 @@ def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
         yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, *, part_rows: int = 30_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, part_rows: int = 30_000, common_rows: int = 3_000) -> DataFrame:
     """Every byte covered by a SIZE-byte string that starts at another place of the corpus too, by document.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), spans (start and end in bytes) and kept_sha256, one row a row of docs.
     A null text is empty; texts under SIZE bytes keep all; overlapping occurrences count; repeated rows are places of their own; an
     empty table gives an empty result; a null doc_id is allowed; other columns are ignored. A very long text is held whole by one task, with 8 bytes or so a byte.
 
-    A part of the merge holds about part_rows anchors; strings that anchor more windows than that are split before (split_common).
+    A part of the merge holds about part_rows anchors; strings at more than common_rows anchors are split before (split_common), with the same result.
     """
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     long = keyed.where(F.octet_length("text") >= SIZE)
     found = materialize(long.select("doc", "text_hash", "text").mapInPandas(anchor_rows, "doc bigint, text_hash bigint, gram bigint, place int, least smallint, most smallint"), "anchors")
     # written first, so that the join below reads plain exchanges and can split a common gram's rows
-    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram", (F.col("_n") > part_rows).alias("common")), "grams")
+    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram", (F.col("_n") > common_rows).alias("common")), "grams")
     candidates = materialize(found.join(twice, "gram").select("doc", "text_hash", "place", "least", "most", "common"), "candidates")
     n, n_common = candidates.agg(F.count(F.lit(1)), F.count_if("common")).first()
     anchors_left, settled = candidates.where("NOT common").select("doc", "text_hash", "place", "least", "most", F.lit(False).alias("piece")), None
     if n_common:
-        pieces, settled = split_common(long, candidates.where("common").drop("common"), part_rows)
+        pieces, settled = split_common(long, candidates.where("common").drop("common"), common_rows)
         anchors_left = anchors_left.unionByName(pieces.withColumn("piece", F.lit(True)))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // part_rows))
     runs = with_texts(long, anchors_left).mapInPandas(run_rows(parts), RUN)

@@ -87,13 +87,13 @@ def test_repeats_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("part_rows", [3, 12, 10_000])
-def test_repeats_of_common_passages(spark, part_rows):
+@pytest.mark.parametrize("common_rows", [3, 12, 10_000])
+def test_repeats_of_common_passages(spark, common_rows):
     """Passages just under and over the length, with other neighbours in every text: split strings give what unsplit ones do."""
     exact, under, over, long = prose(20, 90)[:400], prose(21, 90)[:399], prose(22, 90)[:430], prose(23, 200)
     texts = [prose(1000 + i, 5 + i % 7) + p + prose(2000 + i, 9) for i in range(14) for p in (exact, under, over, long)]
     texts += [prose(3000 + i, 60) + over[i : 380 + i] + prose(4000 + i, 60) for i in range(40)] + [texts[5], None, ""]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, texts), part_rows=part_rows).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, texts), common_rows=common_rows).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, suffix_dedup.SIZE)
 
 
@@ -101,7 +101,7 @@ def test_repeated_rows_of_common_passages(spark):
     rows = frame(spark, [prose(20, 90)] * 6 + [prose(20, 60) + prose(i, 30) for i in range(6)])
     again = rows.unionByName(rows)
     want = brute_repeats([r.text for r in again.collect()], suffix_dedup.SIZE)
-    got = suffix_dedup.remove_repeats(again, part_rows=2).collect()
+    got = suffix_dedup.remove_repeats(again, common_rows=2).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
