@@ -216,23 +216,35 @@ def kernel(raw: bytes, place: int, d: int) -> bytes:
     return raw[place - low : place + SIZE - min(low + STEP, SPAN) + 1]
 
 
-CONTEXT = "context binary, doc bigint, text_hash bigint, place int, least smallint, most smallint, pieces array<struct<least:smallint,most:smallint,key:binary>>"
+CONTEXT = "context binary, least smallint, most smallint, pieces array<struct<least:smallint,most:smallint,key:binary>>, places array<struct<doc:bigint,text_hash:bigint,place:int>>"
 
 
-def context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digests of the anchors' contexts and of the kernels of their pieces."""
+def context_rows(batches: Iterator[pd.DataFrame], batch: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """Digests of the anchors' contexts and of the kernels of their pieces: one row for each context of about `batch` bytes of text, with its places."""
+    held: dict[bytes, tuple] = {}
+    size = 0
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame([(digest, *of) for digest, of in held.items()], columns=["context", "least", "most", "pieces", "places"])
+
     for pdf in batches:
-        out = []
         for doc, text_hash, text, found in pdf.itertuples(index=False):
             raw = to_bytes(text)
+            size += len(raw)
             for place, least, most in sorted({(x["place"], x["least"], x["most"]) for x in found}):
-                whole = raw[place - most : place + SIZE - least]
-                pieces = []
-                for low in range(least - least % STEP, most + 1, STEP):
-                    key = hashlib.md5(b"%d:" % low + kernel(raw, place, low)).digest()
-                    pieces.append({"least": max(low, least), "most": min(low + STEP - 1, most), "key": key})
-                out.append((hashlib.md5(b"%d:%d:" % (least, most) + whole).digest(), doc, text_hash, place, least, most, pieces))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXT.split(", ")[:7]])
+                digest = hashlib.md5(b"%d:%d:" % (least, most) + raw[place - most : place + SIZE - least]).digest()
+                if digest not in held:
+                    pieces = [
+                        {"least": max(low, least), "most": min(low + STEP - 1, most), "key": hashlib.md5(b"%d:" % low + kernel(raw, place, low)).digest()}
+                        for low in range(least - least % STEP, most + 1, STEP)
+                    ]
+                    held[digest] = least, most, pieces, []
+                held[digest][3].append({"doc": doc, "text_hash": text_hash, "place": place})
+            if size >= batch:
+                yield rows()
+                held, size = {}, 0
+    if held:
+        yield rows()
 
 
 def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,10 +271,11 @@ def split_common(long: DataFrame, common: DataFrame, limit: int) -> tuple[DataFr
     Counts are taken by 128-bit digest and combined before they are exchanged; they are written, so that the joins with them can split a common key's rows.
     """
     places = materialize(with_texts(long, common).mapInPandas(context_rows, CONTEXT), "contexts")
-    one = F.struct("doc", "text_hash", "place")
-    contexts = materialize(places.groupBy("context").agg(F.count(F.lit(1)).alias("_n"), F.min(one).alias("one"), F.first("pieces").alias("pieces")), "distinct-contexts")
-    again = contexts.where("_n > 1").select("context")
-    equal = places.join(again, "context", "left_semi").select("doc", "text_hash", (F.col("place") - F.col("most")).alias("start"), (F.col("place") + SIZE - F.col("least")).alias("end"))
+    contexts = places.select("context", F.size("places").alias("n"), F.array_min("places").alias("one"), "pieces")
+    contexts = materialize(contexts.groupBy("context").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.first("pieces").alias("pieces")), "distinct-contexts")
+    again = contexts.where("n > 1").select("context")
+    equal = places.join(again, "context", "left_semi").select("least", "most", F.explode("places").alias("p"))
+    equal = equal.select("p.doc", "p.text_hash", (F.col("p.place") - F.col("most")).alias("start"), (F.col("p.place") + SIZE - F.col("least")).alias("end"))
     pieces = contexts.select("one.*", F.explode("pieces").alias("p")).select("doc", "text_hash", "place", "p.*")
     keys = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "piece-keys")
     shared = pieces.join(keys, "key").select("doc", "text_hash", "place", "least", "most", "_n")
