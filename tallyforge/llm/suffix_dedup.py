@@ -20,6 +20,7 @@ once is settled, others are merged as above, and where even a piece's key is tha
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_hash, materialize
+from .shared import discard, gram_hash, materialize
 
 SIZE = 400
 GRAM = 240
@@ -216,7 +217,8 @@ def kernel(raw: bytes, place: int, d: int) -> bytes:
     return raw[place - low : place + SIZE - min(low + STEP, SPAN) + 1]
 
 
-CONTEXT = "context binary, least smallint, most smallint, pieces array<struct<least:smallint,most:smallint,key:binary>>, places array<struct<doc:bigint,text_hash:bigint,place:int>>"
+INTERVAL = "doc bigint, text_hash bigint, start bigint, end bigint"
+CONTEXT = "batch string, context binary, least smallint, most smallint, pieces array<struct<least:smallint,most:smallint,key:binary>>, places array<struct<doc:bigint,text_hash:bigint,place:int>>"
 
 
 def context_rows(batches: Iterator[pd.DataFrame], batch: int = 4 << 20) -> Iterator[pd.DataFrame]:
@@ -225,7 +227,8 @@ def context_rows(batches: Iterator[pd.DataFrame], batch: int = 4 << 20) -> Itera
     size = 0
 
     def rows() -> pd.DataFrame:
-        return pd.DataFrame([(digest, *of) for digest, of in held.items()], columns=["context", "least", "most", "pieces", "places"])
+        name = uuid.uuid4().hex
+        return pd.DataFrame([(name, digest, *of) for digest, of in held.items()], columns=["batch", "context", "least", "most", "pieces", "places"])
 
     for pdf in batches:
         for doc, text_hash, text, found in pdf.itertuples(index=False):
@@ -247,6 +250,26 @@ def context_rows(batches: Iterator[pd.DataFrame], batch: int = 4 << 20) -> Itera
         yield rows()
 
 
+def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The intervals around the places of a batch's contexts, those of a document that touch made one."""
+    found: dict[tuple, list] = {}
+    for least, most, places in zip(pdf["least"], pdf["most"], pdf["places"], strict=True):
+        for p in places:
+            found.setdefault((p["doc"], p["text_hash"]), []).append((p["place"] - most, p["place"] + SIZE - least))
+    return pd.DataFrame([(*key, a, b) for key, spans in found.items() for a, b in united(spans)], columns=["doc", "text_hash", "start", "end"])
+
+
+def united(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Intervals in order, those that touch made one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(window, doc, text_hash, start) of each window of the pieces found, by digest."""
     for pdf in batches:
@@ -274,15 +297,19 @@ def split_common(long: DataFrame, common: DataFrame, limit: int) -> tuple[DataFr
     contexts = places.select("context", F.size("places").alias("n"), F.array_min("places").alias("one"), "pieces")
     contexts = materialize(contexts.groupBy("context").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.first("pieces").alias("pieces")), "distinct-contexts")
     again = contexts.where("n > 1").select("context")
-    equal = places.join(again, "context", "left_semi").select("least", "most", F.explode("places").alias("p"))
-    equal = equal.select("p.doc", "p.text_hash", (F.col("p.place") - F.col("most")).alias("start"), (F.col("p.place") + SIZE - F.col("least")).alias("end"))
+    equal = places.join(again, "context", "left_semi").select("batch", "least", "most", "places").groupBy("batch").applyInPandas(joined, INTERVAL)
+    equal = materialize(equal, "equal-contexts")
+    discard(places)
     pieces = contexts.select("one.*", F.explode("pieces").alias("p")).select("doc", "text_hash", "place", "p.*")
     keys = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "piece-keys")
     shared = pieces.join(keys, "key").select("doc", "text_hash", "place", "least", "most", "_n")
     merge = shared.where(F.col("_n") <= limit).drop("_n")
     windows = materialize(with_texts(long, shared.where(F.col("_n") > limit)).mapInPandas(window_rows, "window binary, doc bigint, text_hash bigint, start bigint"), "windows")
     twice = materialize(windows.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("window"), "repeated-windows")
-    single = windows.join(twice, "window", "left_semi").select("doc", "text_hash", "start", (F.col("start") + SIZE).alias("end"))
+    single = materialize(windows.join(twice, "window", "left_semi").select("doc", "text_hash", "start", (F.col("start") + SIZE).alias("end")), "single-windows")
+    discard(windows, twice)
+    merge = materialize(merge, "pieces-to-merge")
+    discard(contexts, keys)
     return merge, equal.unionByName(single)
 
 
@@ -358,12 +385,7 @@ def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
         out = []
         for text, found in zip(texts, intervals, strict=True):
             raw = to_bytes(text)
-            spans: list[list[int]] = []
-            for a, b in sorted((x["start"], x["end"]) for x in (found if found is not None else ())):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
+            spans = united([(x["start"], x["end"]) for x in (found if found is not None else ())])
             digest, at = hashlib.sha256(), 0
             for a, b in spans:
                 digest.update(raw[at:a])
@@ -388,6 +410,7 @@ def remove_repeats(docs: DataFrame, *, part_rows: int = 30_000, common_rows: int
     # written first, so that the join below reads plain exchanges and can split a common gram's rows
     twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram", (F.col("_n") > common_rows).alias("common")), "grams")
     candidates = materialize(found.join(twice, "gram").select("doc", "text_hash", "place", "least", "most", "common"), "candidates")
+    discard(found, twice)
     n, n_common = candidates.agg(F.count(F.lit(1)), F.count_if("common")).first()
     anchors_left, settled = candidates.where("NOT common").select("doc", "text_hash", "place", "least", "most", F.lit(False).alias("piece")), None
     if n_common:
@@ -395,7 +418,8 @@ def remove_repeats(docs: DataFrame, *, part_rows: int = 30_000, common_rows: int
         anchors_left = anchors_left.unionByName(pieces.withColumn("piece", F.lit(True)))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // part_rows))
     runs = with_texts(long, anchors_left).mapInPandas(run_rows(parts), RUN)
-    intervals = materialize(runs.groupBy("part").applyInPandas(repeats, "doc bigint, text_hash bigint, start bigint, end bigint"), "intervals")
+    intervals = materialize(runs.groupBy("part").applyInPandas(repeats, INTERVAL), "intervals")
+    discard(candidates)
     if settled is not None:
         intervals = intervals.unionByName(settled)
     removed = intervals.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
