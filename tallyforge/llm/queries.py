@@ -85,29 +85,33 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "distinct_soft_hits")
+    vocabulary = urls.read_vocabulary(urls.vocabulary_table(spark))
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, vocabulary=vocabulary, soft_weight=urls.SOFT_WEIGHT)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "distinct_soft_hits", "weight")
 
 
 def _sql6() -> str:
-    def hit(term: str) -> str:
-        return f"CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){term}($|[^a-z0-9])') THEN 1 ELSE 0 END"
-
-    # occurrences of one term overlap only where a single separator stands between them: doubled separators keep both
     def times(term: str) -> str:
+        """Words of one part are tokens; a term of two parts is counted with its separators doubled, as occurrences may share one."""
+        if "-" not in term:
+            return f"len(list_filter(tokens, lambda x: x = '{term}'))"
         return rf"len(regexp_extract_all(regexp_replace(u, '([^a-z0-9])', '\1\1', 'g'), '(^|[^a-z0-9]){term.replace('-', '--')}($|[^a-z0-9])'))"
 
     cases = " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r}:{r.verdict}'" for r in sorted(RULES, key=lambda r: -len(str(r)))
     )
     lower = f"translate(%s, '{urls.UPPER}', '{urls.LOWER}')"
+    weight = lambda terms: " + ".join(f"CASE WHEN {times(t)} > 0 THEN {w}::DOUBLE ELSE 0 END" for t, w in terms)
     return rf"""
-WITH p AS (SELECT page_id, {lower % "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"} AS host,
-        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path, {lower % "coalesce(url, '')"} AS u FROM pages),
+WITH c AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, {lower % "coalesce(url, '')"} AS u FROM pages),
+    h AS (SELECT *, string_split_regex(rest, '[/?#]')[1] AS own FROM c),
+    p AS (SELECT page_id, {lower % "own"} AS host, string_split_regex(substr(rest, length(own) + 1), '[?#]')[1] AS path, u, string_split_regex(u, '[^a-z0-9]') AS tokens FROM h),
     q AS (SELECT *, CASE {cases} END AS r, CAST({" + ".join(map(times, urls.STRICT))} AS BIGINT) AS strict_hits,
-        CAST({" + ".join(map(hit, urls.SOFT))} AS BIGINT) AS distinct_soft_hits FROM p)
+        CAST({" + ".join(f"CASE WHEN {times(t)} > 0 THEN 1 ELSE 0 END" for t in urls.SOFT)} AS BIGINT) AS distinct_soft_hits,
+        {weight([*((t, 2.0) for t in urls.STRICT), *urls.SOFT.items()])} AS weight FROM p)
 SELECT page_id, host, path, split_part(r, ':', 1) AS rule,
-    coalesce(split_part(r, ':', 2), CASE WHEN strict_hits > 0 OR distinct_soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, distinct_soft_hits
+    coalesce(split_part(r, ':', 2), CASE WHEN strict_hits > 0 OR (distinct_soft_hits >= 2 AND weight >= {urls.SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict,
+    strict_hits, distinct_soft_hits, weight
 FROM q
 """
 

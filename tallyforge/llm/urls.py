@@ -9,13 +9,18 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One of these rejects a url.
 STRICT = ("cheap-pills", "spam-farm", "porn", "xxx", "casino", "viagra", "warez", "malware", "phishing", "escort")
-#: soft_hits different ones of these reject a url.
-SOFT = ("cheap", "free", "pills", "spam", "farm", "bonus", "win", "prize", "deal", "click", "loan", "bet", "crypto", "sale", "adult", "dating", "torrent", "crack")
+#: Soft terms and their weights: words that plain pages use as well weigh half.
+SOFT = {
+    "cheap": 1.0, "free": 0.5, "pills": 1.5, "spam": 1.5, "farm": 0.5, "bonus": 1.0, "win": 0.5, "prize": 1.0, "deal": 0.5, "click": 0.5, "loan": 1.0, "bet": 1.0, "crypto": 1.0, "sale": 0.5,
+    "adult": 1.0, "dating": 1.0, "torrent": 1.5, "crack": 1.5,
+}
+#: What the different soft terms of a url must weigh together, in the query.
+SOFT_WEIGHT = 1.5
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,11 +32,16 @@ class Term:
     strict: bool = False
 
 
-DEFAULT = tuple(Term(t, 2.0, True) for t in STRICT) + tuple(Term(t) for t in SOFT)
+DEFAULT = tuple(Term(t, 2.0, True) for t in STRICT) + tuple(Term(t, w) for t, w in SOFT.items())
 #: Terms of a vocabulary, which goes to every worker.
 MOST_TERMS = 200_000
 
 
+def vocabulary_table(spark: SparkSession, terms: Sequence[Term] = DEFAULT) -> DataFrame:
+    """Terms as the table that read_vocabulary takes, to be stored, joined or extended."""
+    return spark.createDataFrame([(t.text, t.weight, t.strict) for t in terms], "term string, weight double, strict boolean")
+
+
 def read_vocabulary(table: DataFrame) -> tuple[Term, ...]:
     """The vocabulary of a table (term, weight, strict): lower-cased; null or empty terms are left out, a null weight is 1, and a term listed twice is strict if it
     is so once and has its largest weight. More than MOST_TERMS raise ValueError."""
@@ -52,13 +62,18 @@ class Rule:
         return self.host + self.path
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows the first `://`; empty without one. Cut by position, so that a later `://` in a path or query never counts."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
 def url_host(url: Column) -> Column:
-    found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(F.coalesce(found, F.lit("")), UPPER, LOWER)
+    return F.translate(F.regexp_extract(after_scheme(url), "^[^/?#]*", 0), UPPER, LOWER)
 
 
 def url_path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(after_scheme(url), "^[^/?#]*([^?#]*)", 1)
 
 
 def rule_fits(rule: Rule, host: Column, path: Column) -> Column:

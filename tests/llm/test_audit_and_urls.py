@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 
-from tallyforge.llm import fixity, language, urls
+import oracle
+from tallyforge.llm import fixity, language, queries, urls
 
 from test_operators import RULES, frame, pages
 
@@ -69,3 +71,25 @@ def test_weighted_vocabulary_equals_brute_force(spark):
         assert (got[i].strict_hits, got[i].soft_hits, got[i].distinct_soft_hits) == want[:3] and got[i].weight == pytest.approx(want[3])
         assert (got[i].verdict == "block") == (want[0] > 0 or want[2] >= 2)
         assert (heavy[i] == "block") == (want[0] > 0 or (want[2] >= 2 and want[3] >= 3.4))
+
+
+@pytest.mark.parametrize("url,host,path,rule,verdict", [
+    ("http://a.net?u=http://b.net/es/", "a.net", "", None, "allow"), ("http://a.com?x=http://b.net/es/z", "a.com", "", None, "allow"), ("http://a.net#://b.net/es/", "a.net", "", None, "allow"),
+    ("http://b.net/es/?u=http://a.com/", "b.net", "/es/", "net/es/", "block"), ("://a\nb.net/es/x\ny", "a\nb.net", "/es/x\ny", "net/es/", "block"), ("http://B.NET/ES/" + "x" * 100_000, "b.net", "/ES/" + "x" * 100_000, None, "allow"),
+])
+def test_only_the_first_scheme_counts(spark, url, host, path, rule, verdict):
+    rules = [urls.Rule("block", "net", "/es/")]
+    got = urls.judge_urls(spark.createDataFrame([(1, url), (1, url)], "page_id long, url string"), rules).collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [(host, path, rule, verdict)] * 2
+
+
+def test_query_equals_sql_on_odd_urls(spark, tmp_path):
+    """The statement is written without the query's patterns: hosts by splitting, words by tokens."""
+    texts = [None, "", "http://a.net?u=http://b.net/es/", "http://a.com?x=http://b.net/es/z", "x://y://net/es/", "http://a.org/free/win", "http://a.org/free/crack", "http://a.org/cheap-pills-cheap-pills"]
+    texts += ["HTTP://WWW.EXAMPLE.COM/en/#a", "http://example.com/en/?b", "http://a.org/bet/loan", "http://a.org/cheap/pills?cheap", "http://net/fr/", "http://", "a.org/casino"]
+    spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    oracle.check(queries.QUERIES["op6_url_filter"], queries.SQL["op6_url_filter"], spark, str(tmp_path), con)
+    verdicts = {r.page_id: r.verdict for r in queries.QUERIES["op6_url_filter"](spark, str(tmp_path)).collect()}
+    assert [verdicts[i] for i in (2, 3, 5, 6, 10, 14)] == ["allow", "allow", "allow", "block", "block", "block"]
