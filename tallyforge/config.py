@@ -9,6 +9,9 @@ from typing import get_type_hints
 import yaml
 
 
+# The keys of a settings file and their defaults.
+
+
 @dataclass(frozen=True)
 class Project:
     output_dir: Path = Path("./results")

@@ -15,8 +15,8 @@ STOPWORDS = ("the", "a", "an", "is", "it", "of", "to", "and", "or", "in", "that"
 PUNCTUATION = ".,;:()[]"
 RELATIONS = ("original", "persona", "formal", "reorder", "terse")
 
-OPEN_LINE = r"""^((?:[^\n]*\n)*?)([^\n]*(?:\"\"\"|''')[^\n]*\n?)"""
-EXAMPLES = r"(?s)^((?:[^\n]*\n)*?)([ \t]*>>>.*)$"
+#: Before the first line of examples.
+EXAMPLES = r"(?<=\n)(?=[ \t]*>>>)"
 FENCE = r"(?s)```(?:python)?\s*(.*?)```"
 DOCSTRING = r'(?s)"""(.*?)"""'
 
@@ -31,13 +31,20 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def split_docstring(prompt: Column) -> Column:
-    """(signature, description, examples) of a prompt. Lines end with a newline; a prompt without docstring is all signature."""
+    """(signature, description, examples) of a prompt. Lines end with a newline; a prompt without docstring is all signature. Lines are found by position, so prompts may
+    have any number of them."""
+
+    def line(x: Column) -> Column:
+        """x: the prompt and what stands before the first quotes. The line of these begins after the last newline before them."""
+        began = F.length(x["head"]) - F.length(F.substring_index(x["head"], "\n", -1))
+        tail = F.substring(x["prompt"], began + 1, F.length(x["prompt"]))
+        return let(F.struct(F.substring(x["prompt"], F.lit(1), began).alias("before"), tail.alias("tail"), F.substring_index(tail, "\n", 1).alias("line")), parts)
 
     def parts(x: Column) -> Column:
-        """x: the prompt, what stands before the line that opens the docstring, and that line."""
-        rest = F.substring(x["prompt"], F.length(x["before"]) + F.length(x["line"]) + 1, F.length(x["prompt"]))
         quote = F.when(F.contains(x["line"], F.lit('"""')), F.lit('"""')).otherwise(F.lit("'''"))
-        return let(F.struct(x["before"].alias("before"), x["line"].alias("line"), rest.alias("rest"), quote.alias("quote"), F.instr(x["line"], quote).alias("at")), opened)
+        whole = F.substring(x["tail"], F.lit(1), F.length(x["line"]) + 1)  # with its newline, if it has one
+        rest = F.substring(x["tail"], F.length(x["line"]) + 2, F.length(x["tail"]))
+        return let(F.struct(x["before"].alias("before"), whole.alias("line"), rest.alias("rest"), quote.alias("quote"), F.instr(x["line"], quote).alias("at")), opened)
 
     def opened(x: Column) -> Column:
         after = strip(F.substring(x["line"], x["at"] + 3, F.length(x["line"])))
@@ -47,19 +54,20 @@ def split_docstring(prompt: Column) -> Column:
         inline = (x["after"] != "") & (x["after"] != x["quote"])
         signature = F.when(inline, F.concat(x["before"], F.substring(x["line"], F.lit(1), x["at"] + 2), F.lit("\n"))).otherwise(F.concat(x["before"], x["line"]))
         body = F.when(inline, F.concat(x["after"], F.lit("\n"), x["rest"])).otherwise(x["rest"])
-        return let(F.struct(signature.alias("signature"), body.alias("body")), exampled)
+        return let(F.struct(signature.alias("signature"), F.split(F.concat(F.lit("\n"), body), EXAMPLES, 2).alias("cut")), exampled)
 
     def exampled(x: Column) -> Column:
-        shown = x["body"].rlike(EXAMPLES)
+        description = F.get(x["cut"], F.lit(0))
         return F.struct(
             x["signature"].alias("signature"),
-            F.when(shown, F.regexp_extract(x["body"], EXAMPLES, 1)).otherwise(x["body"]).alias("description"),
-            F.when(shown, F.regexp_extract(x["body"], EXAMPLES, 2)).otherwise(F.lit("")).alias("examples"),
+            F.substring(description, F.lit(2), F.length(description)).alias("description"),
+            F.coalesce(F.get(x["cut"], F.lit(1)), F.lit("")).alias("examples"),
         )
 
-    cut = F.struct(prompt.alias("prompt"), F.regexp_extract(prompt, OPEN_LINE, 1).alias("before"), F.regexp_extract(prompt, OPEN_LINE, 2).alias("line"))
+    double, single = F.substring_index(prompt, '"""', 1), F.substring_index(prompt, "'''", 1)
+    head = F.when(F.length(double) <= F.length(single), double).otherwise(single)
     none = F.struct(prompt.alias("signature"), F.lit("").alias("description"), F.lit("").alias("examples"))
-    return F.when(prompt.rlike(OPEN_LINE), let(cut, parts)).otherwise(none)
+    return F.when(F.length(head) < F.length(prompt), let(F.struct(prompt.alias("prompt"), head.alias("head")), line)).otherwise(none)
 
 
 def relation(prompt: Column, name: str) -> Column:

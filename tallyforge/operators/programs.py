@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import inspect
+import json
 import os
 import random
 import re
@@ -17,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
+from . import child
 from .attempts import pairwise_disagreement
-from .mutants import TIMEOUT, first_valid
+from .mutants import TIMEOUT, first_valid, not_equivalent
 
 # What each operator may become, in the order that seeded choices depend on.
 ARITHMETIC = {
@@ -228,21 +232,25 @@ def _limits() -> None:
     resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 24, 1 << 24))
 
 
+def _start(folder: str, program: str, stdin: int = subprocess.DEVNULL) -> subprocess.Popen:
+    """A child process of its own session: isolated mode, an empty working folder, no inherited environment, limits on memory and file size."""
+    return subprocess.Popen(
+        [sys.executable, "-I", "-B", "-c", program],
+        stdin=stdin, stdout=subprocess.PIPE, stderr=subprocess.PIPE, cwd=folder, env={"PATH": os.defpath, "HOME": folder, "LANG": "C.UTF-8"}, preexec_fn=_limits, start_new_session=True,
+    )
+
+
 def execute(solution: str, test: str, timeout: float = 10.0) -> tuple[bool, str, str, bool]:
-    """(passed, stdout, stderr, timed_out) of a program in a child process of its own session: isolated mode, an empty working folder, no inherited
-    environment, limits on memory and file size. It passes if it ends with status 0 in time."""
+    """(passed, stdout, stderr, timed_out) of a program in a child process. It passes if it ends with status 0 in time."""
     with tempfile.TemporaryDirectory() as folder:
-        child = subprocess.Popen(
-            [sys.executable, "-I", "-B", "-c", f"{solution}\n{test}"],
-            stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE, cwd=folder, env={"PATH": os.defpath, "HOME": folder, "LANG": "C.UTF-8"}, preexec_fn=_limits, start_new_session=True,
-        )
+        run = _start(folder, f"{solution}\n{test}")
         try:
-            out, err = child.communicate(timeout=timeout)
+            out, err = run.communicate(timeout=timeout)
         except subprocess.TimeoutExpired:
-            os.killpg(child.pid, 9)
-            child.communicate()
+            os.killpg(run.pid, 9)
+            run.communicate()
             return False, "", "", True
-    return child.returncode == 0, out.decode(errors="replace"), err.decode(errors="replace"), False
+    return run.returncode == 0, out.decode(errors="replace"), err.decode(errors="replace"), False
 
 
 RAN = "passed boolean, stdout string, stderr string, timed_out boolean"
@@ -259,27 +267,75 @@ def run_programs(programs: DataFrame, *, timeout: float = 10.0) -> DataFrame:
     return got.select("*", "_r.*").drop("_r")
 
 
+def _call(entry_point: str, args: str) -> str:
+    return f"\n__result__ = {entry_point}(*{args})\nprint(repr(__result__))"
+
+
 def output_of(code: str, entry_point: str, args: str, timeout: float) -> str:
     """What a call prints as its result; TIMEOUT, or `__error__:` and the start of the message."""
-    ok, out, err, late = execute(code, f"\n__result__ = {entry_point}(*{args})\nprint(repr(__result__))", timeout)
+    ok, out, err, late = execute(code, _call(entry_point, args), timeout)
     return TIMEOUT if late else out.strip() if ok else f"__error__:{err[:60]}"
 
 
+def outputs_of(code: str, entry_point: str, calls: Sequence[str], timeout: float, wanted: Sequence[str] | None = None) -> list[str]:
+    """output_of for a block of calls, in one child process that forks for each, so that no call sees what another did and each has its own time limit.
+
+    With wanted, it ends after the first output that differs. A call that takes the child process along is an error; the rest go on in another.
+    """
+    found: list[str] = []
+    while len(found) < len(calls):
+        began, left = len(found), slice(len(found), None)
+        job = {"code": code + "\n", "sources": [_call(entry_point, x) for x in calls[left]], "timeout": timeout, "wanted": list(wanted[left]) if wanted else None}
+        with tempfile.TemporaryDirectory() as folder:
+            run = _start(folder, inspect.getsource(child), subprocess.PIPE)
+            try:
+                lines = run.communicate(json.dumps(job).encode(), timeout=(timeout + 1) * len(job["sources"]) + 10)[0]
+            except subprocess.TimeoutExpired:
+                os.killpg(run.pid, 9)
+                lines = run.communicate()[0]
+        for line in lines.split(b"\n")[:-1]:
+            late, ok, out, err = json.loads(line)
+            found.append(TIMEOUT if late else out.strip() if ok else f"__error__:{err[:60]}")
+        if wanted and any(x != y for x, y in zip(found, wanted, strict=False)):
+            break
+        if len(found) == began:
+            found.append("__error__:")
+    if wanted:
+        found = found[: 1 + next((i for i, x in enumerate(found) if x != wanted[i]), len(found))]
+    return found
+
+
+def shared(output: str) -> str:
+    """An output as solutions are compared: every error and timeout is `__error__`."""
+    return "__error__" if output == TIMEOUT or output.startswith("__error__:") else output
+
+
 def shared_output(code: str, entry_point: str, args: str, timeout: float) -> str:
-    """The same for comparing solutions: every error and timeout is `__error__`."""
-    got = output_of(code, entry_point, args, timeout)
-    return "__error__" if got == TIMEOUT or got.startswith("__error__:") else got
+    return shared(output_of(code, entry_point, args, timeout))
+
 
+#: Calls of one program that one child process runs, and that one row carries.
+BLOCK = 50
 
-def output_table(programs: DataFrame, *, timeout: float = 5.0, shared: bool = False) -> DataFrame:
-    """programs (code, entry_point, args) with out."""
-    one = shared_output if shared else output_of
 
-    @F.pandas_udf("string")
+def input_blocks(tasks: DataFrame, n: int, seed: int = 42, *, strict: bool = False, block: int = BLOCK) -> DataFrame:
+    """The inputs of input_table by blocks: task_id, first (the place of a block's first input) and args."""
+
+    def rows(t) -> list[tuple]:
+        found = [repr(a) for a in inputs_for(t.prompt + t.canonical_solution, t.test, t.entry_point, n, seed, strict=strict)]
+        return [(t.task_id, i, found[i : i + block]) for i in range(0, len(found), block)]
+
+    return expand(tasks, "task_id string, first bigint, args array<string>", rows)
+
+
+def output_table(programs: DataFrame, *, timeout: float = 5.0) -> DataFrame:
+    """programs (code, entry_point, args: an array of calls) with outs, an output for each call."""
+
+    @F.pandas_udf("array<string>")
     def run(code: pd.Series, entry_point: pd.Series, args: pd.Series) -> pd.Series:
-        return pd.Series([one(c, e, a, timeout) for c, e, a in zip(code, entry_point, args, strict=True)], dtype=object)
+        return pd.Series([outputs_of(c, e, list(a), timeout) for c, e, a in zip(code, entry_point, args, strict=True)], dtype=object)
 
-    return programs.withColumn("out", run.asNondeterministic()("code", "entry_point", "args"))
+    return programs.withColumn("outs", run.asNondeterministic()("code", "entry_point", "args"))
 
 
 def same_tree(a: str, b: str) -> bool:
@@ -287,28 +343,60 @@ def same_tree(a: str, b: str) -> bool:
     return x is not None and y is not None and ast.unparse(x) == ast.unparse(y)
 
 
+#: Places of inputs at which a round of judge_mutants ends: most mutants that diverge do so early.
+ROUNDS = (50, 200)
+
+
 def judge_mutants(tasks: DataFrame, mutants: DataFrame, *, n_inputs: int = 500, timeout: float = 5.0, seed: int = 42) -> DataFrame:
     """Equivalence of mutants (task_id, mutant_id, code): is_equivalent, reason, n_inputs_tested.
 
-    Canonical outputs are computed once a task and joined. A mutant with the canonical tree isn't run; another runs input by input until it diverges.
+    Canonical outputs are computed once a task, by blocks of inputs. A mutant with the canonical tree isn't run. The others are run in rounds: each joins the mutants that
+    haven't diverged with the next blocks of inputs, a row and a child process for each mutant and block, and writes what it found to the shared folder, so that lost
+    executors repeat the blocks they had at most. Mutants of unknown tasks are left out.
     """
-    calls = input_table(tasks, n_inputs, seed).join(tasks.select("task_id", "entry_point", F.concat("prompt", "canonical_solution").alias("code")), "task_id")
-    wanted = output_table(calls.repartition("task_id", "ix"), timeout=timeout).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("ix", "args", "out"))).alias("calls"))
-    rows = mutants.select("task_id", "mutant_id", F.col("code").alias("mutant")).join(wanted, "task_id").join(tasks.select("task_id", "entry_point", F.concat("prompt", "canonical_solution").alias("code")), "task_id")
-
-    def judge(t) -> list[tuple]:
-        if same_tree(t.code, t.mutant):
-            return [(t.task_id, t.mutant_id, True, "ast_identical", 0)]
-        tested = 0
-        for call in t.calls:
-            if call["out"] == TIMEOUT:
-                continue
-            tested += 1
-            if output_of(t.mutant, t.entry_point, call["args"], timeout) != call["out"]:
-                return [(t.task_id, t.mutant_id, False, "diverged", int(call["ix"]) + 1)]
-        return [(t.task_id, t.mutant_id, True, "no_divergence" if tested else "no_testable_inputs", tested)]
-
-    return expand(rows.repartition("task_id", "mutant_id"), "task_id string, mutant_id string, is_equivalent boolean, reason string, n_inputs_tested bigint", judge)
+    spark = tasks.sparkSession
+    deal = spark.sparkContext.defaultParallelism * 4
+    canon = tasks.select("task_id", "entry_point", F.concat("prompt", "canonical_solution").alias("code"))
+    blocks = input_blocks(tasks, n_inputs, seed).join(canon, "task_id").repartition(deal, "task_id", "first")
+    calls = F.filter(F.transform("args", lambda a, i: F.struct(a.alias("args"), (F.col("first") + i).alias("ix"), F.get(F.col("outs"), i).alias("out"))), lambda c: c["out"] != TIMEOUT)
+    wanted = written(output_table(blocks, timeout=timeout).select("task_id", "first", calls.alias("calls")), "canonical")
+    same = F.pandas_udf(lambda a, b: pd.Series([same_tree(x, y) for x, y in zip(a, b, strict=True)]), "boolean")
+    rows = mutants.select("task_id", "mutant_id", F.col("code").alias("mutant")).join(canon, "task_id")
+    judged = written(rows.select("task_id", "mutant_id", "mutant", "entry_point", same(F.col("code").cast("string"), F.col("mutant").cast("string")).alias("same")), "mutants")
+
+    @F.pandas_udf("bigint")
+    def diverged(code: pd.Series, entry_point: pd.Series, args: pd.Series, outs: pd.Series) -> pd.Series:
+        """How many outputs agree before the first that doesn't; null if all do."""
+        found = []
+        for c, e, a, w in zip(code, entry_point, args, outs, strict=True):
+            got = outputs_of(c, e, list(a), timeout, list(w)) if len(a) else []
+            found.append(next((i for i, (x, y) in enumerate(zip(got, w, strict=False)) if x != y), None))
+        return pd.Series(found, dtype="Int64")
+
+    ends = [e for e in ROUNDS if e < n_inputs] + [n_inputs]
+    alive, found, start = judged.where(~F.col("same")), None, 0
+    for end in ends:
+        if found is not None:
+            alive = alive.join(found.where("at is not null"), ["task_id", "mutant_id"], "left_anti")
+        work = alive.join(wanted.where((F.col("first") >= start) & (F.col("first") < end)), "task_id").repartition(deal, "task_id", "mutant_id", "first")
+        at = diverged.asNondeterministic()("mutant", "entry_point", F.col("calls.args"), F.col("calls.out"))
+        ran = work.select("task_id", "mutant_id", "calls", at.alias("_at")).select("task_id", "mutant_id", F.size("calls").alias("n"), F.get(F.col("calls.ix"), F.col("_at").cast("int")).alias("at"))
+        ran = written(ran, "round")
+        found, start = ran if found is None else found.unionByName(ran), end
+    tally = found.groupBy("task_id", "mutant_id").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+    reason = F.when(F.col("same"), "ast_identical").when(F.col("at").isNotNull(), "diverged").when(F.coalesce("n", F.lit(0)) == 0, "no_testable_inputs").otherwise("no_divergence")
+    tested = F.when(F.col("same"), F.lit(0)).otherwise(F.coalesce(F.col("at") + 1, "n", F.lit(0))).cast("long")
+    return judged.join(tally, ["task_id", "mutant_id"], "left").select("task_id", "mutant_id", F.col("at").isNull().alias("is_equivalent"), reason.alias("reason"), tested.alias("n_inputs_tested"))
+
+
+def kill_matrix(tasks: DataFrame, mutants: DataFrame, verdicts: DataFrame | None = None, *, timeout: float = 10.0, deal: int | None = None) -> DataFrame:
+    """Every mutant (task_id, mutant_id, operator, code) that no verdict calls equivalent against its task's suite: is_killed, timed_out. One that fails or runs out of
+    time is killed. Mutants of unknown tasks are left out."""
+    if verdicts is not None:
+        mutants = not_equivalent(mutants, verdicts, ("task_id", "mutant_id"))
+    known = mutants.join(tasks.select("task_id", T.test_driver(F.col("test"), F.col("entry_point")).alias("test")), "task_id").withColumnRenamed("code", "solution")
+    ran = run_programs(known.repartition(deal or known.sparkSession.sparkContext.defaultParallelism * 4, "task_id", "mutant_id"), timeout=timeout)
+    return ran.select("task_id", "mutant_id", "operator", (~F.col("passed")).alias("is_killed"), "timed_out")
 
 
 def valid_code(raw: str | None) -> str | None:
@@ -350,13 +438,15 @@ def run_completions(completions: DataFrame, tasks: DataFrame, *, timeout: float
 def shared_divergence(solutions: DataFrame, tasks: DataFrame, *, n_inputs: int = 500, timeout: float = 5.0, seed: int = 42, deal: int | None = None) -> DataFrame:
     """How often a task's solutions (task_id, sol, completion) differ on shared inputs: task, n_solutions, n_inputs, total_comparisons, disagreements, rate.
 
-    Every (solution, input) is a row of its own, so the runs spread evenly. Errors and timeouts count as one output.
+    Every solution and block of inputs is a row of its own, so the runs spread evenly. Errors and timeouts count as one output.
     """
     code = solutions.join(tasks.select("task_id", "prompt", "entry_point"), "task_id").select("task_id", "sol", "entry_point", program_of(F.col("completion"), F.col("prompt"), F.col("entry_point")).alias("code"))
-    calls = code.where(F.col("code").isNotNull()).join(input_table(tasks, n_inputs, seed), "task_id")
-    calls = calls.repartition(deal or calls.sparkSession.sparkContext.defaultParallelism * 4, "task_id", "sol", "ix")
-    ran = output_table(calls, timeout=timeout, shared=True)
-    return pairwise_disagreement(ran.select(F.col("task_id").alias("task"), "sol", F.col("ix").alias("inp"), "out"))
+    calls = code.where(F.col("code").isNotNull()).join(input_blocks(tasks, n_inputs, seed), "task_id")
+    calls = calls.repartition(deal or calls.sparkSession.sparkContext.defaultParallelism * 4, "task_id", "sol", "first")
+    ran = output_table(calls, timeout=timeout).select("task_id", "sol", "first", F.posexplode("outs").alias("i", "out"))
+    failed = (F.col("out") == TIMEOUT) | F.startswith("out", F.lit("__error__:"))
+    ran = ran.withColumn("out", F.when(failed, "__error__").otherwise(F.col("out")))
+    return pairwise_disagreement(ran.select(F.col("task_id").alias("task"), "sol", (F.col("first") + F.col("i")).alias("inp"), "out"))
 
 
 MUTATOR = "You test test suites. Change one detail of the Python function so that it is wrong in a way a programmer might get it wrong. Keep it valid and answer with the whole function only."

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import mutants as M
 from ..operators import programs as P
 from ..operators import state as S
 from ..sources import corpus, provider
@@ -162,7 +163,7 @@ def mutants_fallback(spark, sf_dir):
 
 @query()
 def fuzz_inputs(spark, sf_dir):
-    return P.input_table(task_corpus(spark, sf_dir), 20)
+    return P.input_table(task_corpus(spark, sf_dir), 500)
 
 
 @query()
@@ -182,7 +183,20 @@ def degraded_suites(spark, sf_dir):
 @query()
 def mutant_equivalence(spark, sf_dir):
     tasks = task_corpus(spark, sf_dir)
-    return P.judge_mutants(tasks, P.mutant_table(tasks), n_inputs=6, timeout=5.0)
+    return P.judge_mutants(tasks, P.mutant_table(tasks), timeout=5.0)
+
+
+@query()
+def kill_matrix(spark, sf_dir):
+    """Traditional and generated mutants, without those that 500 inputs find equivalent, against their tasks' suites."""
+    tasks = task_corpus(spark, sf_dir)
+    mutants = M.all_mutants(P.mutant_table(tasks), P.fallback_table(tasks))
+    return P.kill_matrix(tasks, mutants, P.judge_mutants(tasks, mutants, timeout=5.0), timeout=5.0)
+
+
+@query()
+def kill_summary(spark, sf_dir):
+    return M.kill_rates(kill_matrix(spark, sf_dir)).withColumn("kill_rate", F.round("kill_rate", 6))
 
 
 def _solutions(spark, sf_dir):
@@ -199,10 +213,10 @@ def completion_runs(spark, sf_dir):
     return P.run_completions(solutions, tasks, deal=8).drop("completion")
 
 
-@query("SELECT 'Bench/' || item_id AS task, CAST(3 AS BIGINT) AS n_solutions, CAST(4 AS BIGINT) AS n_inputs, CAST(12 AS BIGINT) AS total_comparisons, CAST(CASE item_id % 4 WHEN 2 THEN 12 ELSE 8 END AS BIGINT) AS disagreements, CASE item_id % 4 WHEN 2 THEN 1E0 ELSE round(2 / 3::DOUBLE, 6) END AS rate FROM benchmark")
+@query("SELECT 'Bench/' || item_id AS task, CAST(3 AS BIGINT) AS n_solutions, CAST(500 AS BIGINT) AS n_inputs, CAST(1500 AS BIGINT) AS total_comparisons, CAST(CASE item_id % 4 WHEN 2 THEN 1500 ELSE 1000 END AS BIGINT) AS disagreements, CASE item_id % 4 WHEN 2 THEN 1E0 ELSE round(2 / 3::DOUBLE, 6) END AS rate FROM benchmark")
 def solution_divergence(spark, sf_dir):
     tasks, solutions = _solutions(spark, sf_dir)
-    return P.shared_divergence(solutions, tasks, n_inputs=4).withColumn("rate", F.round("rate", 6))
+    return P.shared_divergence(solutions, tasks).withColumn("rate", F.round("rate", 6))
 
 
 @query("SELECT 'Bench/' || item_id AS task_id, 'LLM_' || i AS mutant_id FROM benchmark, (VALUES (1), (3), (4)) v(i)")

@@ -103,5 +103,19 @@ def write_results(rows: DataFrame, path: str, partition: str = "task_label") ->
 
 
 def export_results(rows: DataFrame, path: str, partition: str = "task_label") -> None:
-    """The same as JSON documents, for readers without Parquet."""
+    """The same as JSON rows, for readers without Parquet."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).json(path)
+
+
+def result_documents(rows: DataFrame, partition: str = "task_label") -> DataFrame:
+    """One document a task, relation -> model -> completions in order of sample_ix, of rows (relation, model, sample_ix, completion) and the partition column. A row with
+    a null sample_ix stands for an empty list, as read_completions gives it."""
+    entry = F.when(F.col("sample_ix").isNotNull(), F.struct("sample_ix", "completion"))
+    lists = rows.groupBy(partition, "relation", "model").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["completion"]).alias("c"))
+    models = lists.groupBy(partition, "relation").agg(F.map_from_entries(F.collect_list(F.struct("model", "c"))).alias("m"))
+    return models.groupBy(partition).agg(F.map_from_entries(F.collect_list(F.struct("relation", "m"))).alias("v")).select(partition, F.to_json("v", {"ignoreNullFields": "false"}).alias("value"))
+
+
+def export_documents(rows: DataFrame, path: str, partition: str = "task_label") -> None:
+    """Writes result_documents as read_completions reads them: a folder a task, with one file. A task written again is replaced, others stay."""
+    result_documents(rows, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).text(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, written
+
 #: A provider: (model, messages, temperature, max_tokens, n) -> completions.
 Provider = Callable[[str, list[dict], float, int, int], list[str]]
 
@@ -58,18 +61,20 @@ def complete(
     requests_per_minute: float | None = None,
     lanes: int = 1,
     attempts: int = 5,
+    rested: bool = True,
     clock: Callable[[], float] = time.monotonic,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """requests (key, model, messages as JSON) with choices; a failed request has no choices.
 
     Requests are dealt to `lanes` partitions, each with its share of the calls in flight and of the rate, so both caps hold for the whole run: at most in_flight
-    calls (one a lane at least) and one every 60 / requests_per_minute seconds. A lane starts its calls in turn.
+    calls (one a lane at least) and one every 60 / requests_per_minute seconds. A lane starts its calls in turn. rested: the last call before these is long ago, so that
+    each lane's first need not wait.
     """
     width, interval = max(1, in_flight // lanes), 60.0 * lanes / max(requests_per_minute, 0.1) if requests_per_minute else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lock, last = Lock(), [-interval]
+        lock, last = Lock(), [clock() - interval if rested else clock()]
 
         def paced() -> None:
             with lock:
@@ -95,7 +100,10 @@ CACHED = "key string, choices array<string>"
 
 
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """The cache in a folder of JSON lines. A corrupt entry, or one without key or choices, is a miss; of several for one key one counts."""
+    """The cache in a folder of JSON lines; empty if there is none. A corrupt entry, or one without key or choices, is a miss; of several for one key one counts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], CACHED)
     rows = spark.read.text(folder).select(F.from_json("value", CACHED).alias("e")).select("e.*")
     return rows.where(F.col("key").isNotNull() & F.col("choices").isNotNull()).dropDuplicates(["key"])
 
@@ -105,12 +113,36 @@ def write_cache(fresh: DataFrame, folder: str) -> None:
     fresh.where(F.size("choices") > 0).select("key", "choices").write.mode("append").json(folder)
 
 
+def _misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    return requests.select("key", "model", "messages").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+
+
 def through_cache(requests: DataFrame, cache: DataFrame, provider: Provider, **options) -> tuple[DataFrame, DataFrame]:
-    """All requests' choices and the rows to add to the cache (key, choices): hits are joined, and only misses reach the provider, once a key."""
-    fresh = complete(requests.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti"), provider, **options)
+    """All requests' choices and the rows to add to the cache (key, choices): hits are joined, and only misses reach the provider, once a key. The answers are written to
+    the shared folder before both tables are made of them."""
+    fresh = written(complete(_misses(requests, cache), provider, **options), "answers")
     return requests.select("key").join(cache.unionByName(fresh), "key", "left"), fresh
 
 
+def answer(requests: DataFrame, folder: str, provider: Provider, *, batch: int = 100, lanes: int = 1, **options) -> DataFrame:
+    """All requests' choices (key, choices; null for those that failed), through the cache in `folder`, which keeps answers as they come.
+
+    Misses, once a key, are queued as files of at most `batch` requests. A stream takes `lanes` files at a time and appends their answers to the cache before it takes
+    the next, so a run that is stopped loses the calls of one step at most: the next run asks only for what the cache still lacks. Both caps of `complete` hold
+    over the whole run.
+    """
+    spark = requests.sparkSession
+    work = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    _misses(requests, read_cache(spark, folder)).repartition(lanes).write.option("maxRecordsPerFile", batch).parquet(f"{work}/requests")
+
+    def ask(misses: DataFrame, step: int) -> None:
+        write_cache(complete(misses, provider, lanes=lanes, rested=step == 0, **options), folder)
+
+    queue = spark.readStream.schema("key string, model string, messages string").option("maxFilesPerTrigger", lanes).parquet(f"{work}/requests")
+    queue.writeStream.option("checkpointLocation", f"{work}/steps").foreachBatch(ask).trigger(availableNow=True).start().awaitTermination()
+    return requests.select("key").join(read_cache(spark, folder), "key", "left")
+
+
 def table_provider(rows: dict[tuple[str, str], list[str]]) -> Provider:
     """A provider that looks replies up by model and last message."""
     return lambda model, messages, temperature, max_tokens, n: rows.get((model, messages[-1]["content"]), [])[:n]

@@ -90,3 +90,61 @@ def test_result_documents(spark, tmp_path):
         write(rows, path)
         write(rows.where("n = 2").selectExpr("task_label", "n + 1 as n"), path)  # replaces that task only
         assert {(r.task_label, r.n) for r in read(path).collect()} == {("a", 1), ("b", 3)}
+
+
+def asked(spark, n):
+    return spark.createDataFrame([(f"k{i}", "m", json.dumps([{"role": "user", "content": str(i)}])) for i in range(n)], "key string, model string, messages string")
+
+
+def counting(folder):
+    """A provider that leaves a file for each call."""
+
+    def call(model, messages, temperature, max_tokens, n):
+        import os
+        import uuid
+
+        text = messages[-1]["content"]
+        open(f"{folder}/{text}-{uuid.uuid4().hex}", "w").close()
+        if os.path.exists(f"{folder}/stop") and int(text) % 10 == 7:
+            os._exit(1)  # the worker is lost
+        return [] if text == "3" else [f"answer {text}"]
+
+    return call
+
+
+def test_each_miss_is_asked_once(spark, tmp_path):
+    requests = asked(spark, 20).union(asked(spark, 20))
+    old = spark.createDataFrame([("k1", ["old"])], provider.CACHED)
+    got, fresh = provider.through_cache(requests, old, counting(tmp_path))
+    provider.write_cache(fresh, str(tmp_path / "cache"))
+    answers = {r.key: r.choices for r in got.collect()}
+    assert got.count() == 40 and answers["k1"] == ["old"] and answers["k3"] == [] and answers["k5"] == ["answer 5"]
+    assert len(list(tmp_path.glob("*-*"))) == 19
+    kept = {r.key: r.choices for r in provider.read_cache(spark, str(tmp_path / "cache")).collect()}
+    assert kept == {k: v for k, v in answers.items() if k not in ("k1", "k3")}
+
+
+def test_answers_are_kept_as_they_come(spark, tmp_path):
+    """A run that loses its worker keeps what it had been told; the next asks for the rest only, and a third for nothing but the failed one."""
+    (calls := tmp_path / "calls").mkdir()
+    (calls / "stop").touch()
+    requests, cache = asked(spark, 30), str(tmp_path / "cache")
+    with pytest.raises(Exception):  # noqa: B017
+        provider.answer(requests, cache, counting(calls), batch=2)
+    before, kept = len(list(calls.glob("*-*"))), provider.read_cache(spark, cache).count()
+    assert kept >= before - 2 - 1  # a step of two at most, and the one that fails
+    (calls / "stop").unlink()
+    got = {r.key: r.choices for r in provider.answer(requests, cache, counting(calls), batch=7, lanes=2, in_flight=4).collect()}
+    assert got == {f"k{i}": None if i == 3 else [f"answer {i}"] for i in range(30)}
+    assert len(list(calls.glob("*-*"))) == before + 30 - kept
+    provider.answer(requests, cache, counting(calls))
+    assert len(list(calls.glob("*-*"))) == before + 31 - kept
+
+
+def test_documents_round_trip(spark, tmp_path):
+    rows = [("T_0", "original", "m", i, f"c{i}\n\"é\"") for i in range(12)] + [("T_0", "terse", "n", None, None), ("T_1", "original", "m", 0, None), ("T_1", "original", "n", 0, "x")]
+    frame = spark.createDataFrame(rows, "task_label string, relation string, model string, sample_ix int, completion string")
+    corpus.export_documents(frame, str(tmp_path / "out"))
+    corpus.export_documents(frame.where("task_label = 'T_1' and model = 'n'"), str(tmp_path / "out"))
+    got = corpus.read_completions(spark, str(tmp_path / "out" / "*" / "*.txt")).select(F.regexp_extract("path", "task_label=([^/]*)/", 1), "relation", "model", "sample_ix", "completion")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[:3] != ("T_1", "original", "m")), key=str)

@@ -1,5 +1,8 @@
 import math
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,38 @@ def test_token_slots_across_buckets(spark):
 def test_progress_without_tasks(spark):
     done = spark.createDataFrame([], "stage string, phase string, task string")
     assert {r.percent for r in state.progress(done, 0).collect()} == {0.0}
+
+
+def split_by_pattern(prompt):
+    """The split as a pattern over lines: slow, and only for short prompts."""
+    found = re.match(r"((?:[^\n]*\n)*?)([^\n]*(?:\"\"\"|''')[^\n]*\n?)", prompt)
+    if not found:
+        return prompt, "", ""
+    before, line = found.groups()
+    rest, quote = prompt[found.end() :], '"""' if '"""' in line else "'''"
+    after = line[line.index(quote) + 3 :].strip()
+    if after and after != quote:
+        signature, body = before + line[: line.index(quote) + 3] + "\n", f"{after}\n{rest}"
+    else:
+        signature, body = before + line, rest
+    shown = re.match(r"(?s)((?:[^\n]*\n)*?)([ \t]*>>>.*)\Z", body)
+    return (signature, *shown.groups()) if shown else (signature, body, "")
+
+
+def test_split_equals_the_pattern(spark):
+    rng = random.Random(4)
+    parts = ['"""', "'''", "\n", "    ", "x", ">>> f()", "\t>>>", "é\U00010400", "\r", "def f():\n", "a b", "\n\n"]
+    prompts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(600)]
+    rows = spark.createDataFrame([(p,) for p in prompts], "p string").select("p", text.split_docstring(F.col("p")).alias("s")).collect()
+    for r in rows:
+        assert (r.s.signature, r.s.description, r.s.examples) == split_by_pattern(r.p), repr(r.p)
+
+
+def test_split_of_a_hundred_thousand_lines(spark):
+    """Lines before the docstring, in it and before its examples."""
+    many = "# line\n" * 100_000
+    prompt = f'{many}def f(x):\n    """\n{many}    >>> f(1)\n{many}    """\n'
+    got = one(spark, text.split_docstring(F.col("p")), p=prompt)
+    assert got.signature == f'{many}def f(x):\n    """\n' and got.description == many and got.examples == f'    >>> f(1)\n{many}    """\n'
+    assert one(spark, text.relation(F.col("p"), "reorder"), p=prompt) == got.signature + got.examples + got.description
+    assert one(spark, text.relation(F.col("p"), "formal"), p=prompt).startswith(got.signature + text.FORMAL)

@@ -1,9 +1,16 @@
 import ast
 import random
 
+import pytest
+
 from tallyforge.operators import programs as P
 from tallyforge.plans.runs import TASKS
 
+ODD = {
+    "err": "def f(x):\n    return 1 // x\n", "state": "G = []\nprint('hi')\ndef f(x):\n    G.append(x)\n    print('in')\n    return G\n", "exit": "import sys\ndef f(x):\n    sys.exit('no')\n",
+    "quiet": "import sys\ndef f(x):\n    sys.exit(0)\n", "syntax": "def f(x:\n", "loop": "def f(x):\n    while x == 2: pass\n    return x\n", "deep": "def f(x):\n    return f(x)\n",
+    "long": "def f(x):\n    return 'x' * 100000\n", "word": "def f(x):\n    raise ValueError('é')\n", "ask": "def f(x):\n    return input()\n", "memory": "def f(x):\n    return len('a' * (1 << 33))\n",
+}
 ADD = "def add(a, b):\n    return a + b\n"
 THREE = "def foo(x):\n    y = x + 1\n    z = y * 2\n    return z\n"
 
@@ -99,3 +106,70 @@ def test_consistency_suite():
 def test_valid_code():
     assert P.valid_code("```python\nx = 1\n```") == "x = 1"
     assert P.valid_code("def f(") is None
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_a_block_equals_one_process_an_input(name):
+    calls = ["(1,)", "(2,)", "(0,)"]
+    assert P.outputs_of(ODD[name], "f", calls, 0.7) == [P.output_of(ODD[name], "f", c, 0.7) for c in calls]
+
+
+def test_blocks_end_at_the_first_difference_and_survive_their_process():
+    code = "import os\ndef f(x):\n    if x == 2: os.kill(os.getppid(), 9)\n    return x\n"
+    assert P.outputs_of(code, "f", ["(1,)", "(2,)", "(0,)"], 1.0) == ["1", "__error__:", "0"]
+    assert P.outputs_of(code, "f", ["(1,)", "(0,)", "(5,)"], 1.0, ["1", "7", "5"]) == ["1", "0"]
+    assert P.outputs_of(code, "f", [], 1.0) == []
+
+
+def slow_verdict(task, code, n, timeout):
+    """One process an input, one after another."""
+    _, prompt, solution, test, name = task
+    if P.same_tree(prompt + solution, code):
+        return True, "ast_identical", 0
+    tested = 0
+    for i, args in enumerate(P.inputs_for(prompt + solution, test, name, n)):
+        want = P.output_of(prompt + solution, name, repr(args), timeout)
+        if want == "__timeout__":
+            continue
+        tested += 1
+        if P.output_of(code, name, repr(args), timeout) != want:
+            return False, "diverged", i + 1
+    return True, "no_divergence" if tested else "no_testable_inputs", tested
+
+
+def test_rounds_equal_one_process_an_input(spark, monkeypatch):
+    """Blocks of 4 and rounds ending at 4 and 8, so that mutants diverge in every one; a canonical program that runs out of time on some inputs, one on all."""
+    monkeypatch.setattr(P, "ROUNDS", (4, 8))
+    blocks = P.input_blocks
+    monkeypatch.setattr(P, "input_blocks", lambda *a, **k: blocks(*a, **k, block=4))
+    tasks = [
+        ("T/0", "def f(x: int) -> int:\n", "    while x == 1: pass\n    return x\n", "def check(c):\n    " + "\n    ".join(f"f({i})" for i in range(12)) + "\n", "f"),
+        ("T/1", "def g(x: int) -> int:\n", "    while True: pass\n", "def check(c):\n    g(1)\n", "g"),
+    ]
+    mutants = [("T/0", f"at{k}", f"def f(x):\n    return -1 if x == {k} else x\n") for k in (0, 1, 3, 5, 9, 11)]
+    mutants += [("T/0", "late", "def f(x):\n    while x == 7: pass\n    return x\n"), ("T/0", "same", "def f(x: int) -> int:\n    while x == 1:\n        pass\n    return x"), ("T/1", "any", "def g(x):\n    return 1\n"), ("T/9", "lost", "x")]
+    frame = spark.createDataFrame(tasks, "task_id string, prompt string, canonical_solution string, test string, entry_point string")
+    got = P.judge_mutants(frame, spark.createDataFrame(mutants, "task_id string, mutant_id string, code string"), n_inputs=12, timeout=0.6).collect()
+    by = {t[0]: t for t in tasks}
+    want = {m: slow_verdict(by[t], code, 12 if t == "T/0" else 2, 0.6) for t, m, code in mutants if t in by}
+    want["any"] = (True, "no_testable_inputs", 0)
+    assert {r.mutant_id: (r.is_equivalent, r.reason, r.n_inputs_tested) for r in got} == want
+
+
+def test_kill_matrix_leaves_out_equivalent_mutants(spark):
+    """The given corpus: every mutant by hand. What 500 inputs can't tell from the program isn't run; a mutant that the suite misses survives."""
+    from tallyforge.operators import mutants as M
+    from tallyforge.plans.runs import task_frame
+
+    tasks = task_frame(spark)
+    rows = [
+        ("Bench/0", "swapped", "AOR", "def add(a, b):\n    return b + a\n"), ("Bench/0", "minus", "AOR", "def add(a, b):\n    return a - b\n"), ("Bench/0", "lucky", "LLM", "def add(a, b):\n    return a + b if abs(a) < 50 else 0\n"),
+        ("Bench/1", "loop", "ROR", "def clamp(x, low, high):\n    while True: pass\n"), ("Bench/1", "broken", "LLM", "def clamp("),
+    ]
+    mutants = spark.createDataFrame(rows, "task_id string, mutant_id string, operator string, code string")
+    verdicts = P.judge_mutants(tasks, mutants, n_inputs=60, timeout=1.0)
+    matrix = P.kill_matrix(tasks, mutants, verdicts, timeout=2.0).collect()
+    assert {r.mutant_id: (r.is_killed, r.timed_out) for r in matrix} == {"minus": (True, False), "lucky": (False, False), "loop": (True, True), "broken": (True, False)}
+    rates = {r.operator: (r.total, r.killed, r.survived) for r in M.kill_rates(spark.createDataFrame(matrix)).collect()}
+    assert rates == {"AOR": (1, 1, 0), "LLM": (2, 1, 1), "ROR": (1, 1, 0)}
+    assert P.kill_matrix(tasks, mutants.limit(0)).count() == 0
