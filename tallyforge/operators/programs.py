@@ -315,7 +315,7 @@ def shared_output(code: str, entry_point: str, args: str, timeout: float) -> str
 
 
 #: Calls of one program that one child process runs, and that one row carries.
-BLOCK = 50
+BLOCK = 100
 
 
 def input_blocks(tasks: DataFrame, n: int, seed: int = 42, *, strict: bool = False, block: int = BLOCK) -> DataFrame:
@@ -344,7 +344,7 @@ def same_tree(a: str, b: str) -> bool:
 
 
 #: Places of inputs at which a round of judge_mutants ends: most mutants that diverge do so early.
-ROUNDS = (50, 200)
+ROUNDS = (100,)
 
 
 def judge_mutants(tasks: DataFrame, mutants: DataFrame, *, n_inputs: int = 500, timeout: float = 5.0, seed: int = 42) -> DataFrame:
