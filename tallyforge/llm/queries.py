@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fixity, language, mixing, near_dup, neighbours, pii, suffix_dedup, toxicity, urls
+from . import decontamination, fixity, language, mixing, near_dup, neighbours, pii, prefix_trie, suffix_dedup, toxicity, urls
 from .shared import held_out, in_training, table
 
 RULES = (
@@ -145,5 +145,31 @@ WITH best AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
 """
 
-QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op3_private_data": op3_private_data, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources}
-SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    rows = nodes.join(prefix_trie.end_digests(ends), "key", "left").drop("key", "parent")
+    return rows.withColumn("ends_sha256", F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256))).drop("sha256")
+
+
+SQL12 = """
+WITH o AS (SELECT conv_id AS c, length(coalesce(text, '')) AS n, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS t, turn
+      FROM conversations WHERE conv_id IS NOT NULL),
+    l AS (SELECT c, list({'t': t, 'n': n} ORDER BY turn NULLS FIRST, t) AS turns FROM o GROUP BY c),
+    h AS (SELECT c, turns, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 6 AS BIGINT) AS h FROM l),
+    r AS (SELECT h.c, list_concat(coalesce(list_slice(b.turns, 1, h), []), coalesce(list_slice(h.turns, h + 1, len(h.turns)), [])) AS turns FROM h LEFT JOIN l b ON b.c = h.c - h.c % 100),
+    p AS (SELECT c, d, len(turns) AS size, md5(list_aggregate(list_transform(list_slice(turns, 1, d), lambda x: x.t), 'string_agg', ',')) AS k,
+        md5(list_aggregate(list_transform(list_slice(turns, 1, d - 1), lambda x: x.t), 'string_agg', ',')) AS up, turns[d].n AS n
+      FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)),
+    q AS (SELECT c, d, size, CASE WHEN d = 0 THEN 'root' ELSE k END AS k, CASE WHEN d = 0 THEN NULL WHEN d = 1 THEN 'root' ELSE up END AS up, CASE WHEN d = 0 THEN 0 ELSE n END AS n FROM p),
+    g AS (SELECT k, any_value(up) AS up, any_value(d) AS depth, any_value(n) AS n, min(c) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = size), '')) AS ends_sha256 FROM q GROUP BY k),
+    m AS (SELECT up AS k, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+    pairs AS (SELECT DISTINCT a.k AS top, b.k AS k FROM q a JOIN q b ON a.c = b.c AND a.d <= b.d),
+    sums AS (SELECT top AS k, count(*) FILTER (m.k IS NULL) AS n_leaves, CAST(sum((g.n_convs - 1) * g.n) AS BIGINT) AS saved_tokens FROM pairs JOIN g USING (k) LEFT JOIN m USING (k) GROUP BY top)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, g.ends_sha256
+FROM g JOIN sums USING (k) LEFT JOIN m USING (k) LEFT JOIN g u ON u.k = g.up
+"""
+
+QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op3_private_data": op3_private_data, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources, "op12_prefix_trie": op12_prefix_trie}
+SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10, "op12_prefix_trie": SQL12}
