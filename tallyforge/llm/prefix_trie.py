@@ -129,20 +129,19 @@ def prefix_trie(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted (key, conv_id) as strings of up to CHUNK ids of one key."""
-    key, ids = None, []
-
-    def chunk() -> pd.DataFrame:
-        return pd.DataFrame({"key": [key], "first": [ids[0]], "ids": [",".join(map(str, ids))]})
-
+    names = ["key", "first", "ids"]
+    key, ids, done = None, [], []
     for pdf in batches:
         for k, i in zip(pdf["key"], pdf["conv_id"], strict=True):
             if ids and (k != key or len(ids) == CHUNK):
-                yield chunk()
+                done.append((key, ids[0], ",".join(map(str, ids))))
                 ids = []
             key = k
             ids.append(int(i))
+        yield pd.DataFrame(done, columns=names)
+        done = []
     if ids:
-        yield chunk()
+        yield pd.DataFrame([(key, ids[0], ",".join(map(str, ids)))], columns=names)
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
