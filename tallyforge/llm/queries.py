@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fixity, language, mixing, near_dup, neighbours, pii, prefix_trie, suffix_dedup, toxicity, urls
+from . import alignment, decontamination, fixity, language, mixing, near_dup, neighbours, pii, prefix_trie, suffix_dedup, toxicity, urls
 from .shared import held_out, in_training, table
 
 RULES = (
@@ -171,5 +171,9 @@ SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
 FROM g JOIN sums USING (k) LEFT JOIN m USING (k) LEFT JOIN g u ON u.k = g.up
 """
 
-QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op3_private_data": op3_private_data, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources, "op12_prefix_trie": op12_prefix_trie}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op3_private_data": op3_private_data, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources, "op12_prefix_trie": op12_prefix_trie, "op13_token_alignment": op13_token_alignment}
 SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10, "op12_prefix_trie": SQL12}
