@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, fixity, language, mixing, near_dup, neighbours, pii, prefix_trie, suffix_dedup, toxicity, urls
+from . import alignment, decontamination, fixity, language, mixing, near_dup, neighbours, ngram_model, pii, prefix_trie, suffix_dedup, toxicity, urls
 from .shared import held_out, in_training, table
 
 RULES = (
@@ -145,6 +145,10 @@ WITH best AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
 """
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score_texts(table(spark, sf_dir, "documents")).drop("vocabulary")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, ends = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
     rows = nodes.join(prefix_trie.end_digests(ends), "key", "left").drop("key", "parent")
@@ -175,5 +179,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op3_private_data": op3_private_data, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources, "op12_prefix_trie": op12_prefix_trie, "op13_token_alignment": op13_token_alignment}
+QUERIES = {"op1_merkle_audit": op1_merkle_audit, "op2_suffix_dedup": op2_suffix_dedup, "op3_private_data": op3_private_data, "op4_decontaminate": op4_decontaminate, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_multi_index": op9_multi_index, "op10_mix_sources": op10_mix_sources, "op11_lm_scores": op11_lm_scores, "op12_prefix_trie": op12_prefix_trie, "op13_token_alignment": op13_token_alignment}
 SQL = {"op1_merkle_audit": SQL1, "op6_url_filter": _sql6(), "op10_mix_sources": SQL10, "op12_prefix_trie": SQL12}
