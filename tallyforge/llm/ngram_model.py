@@ -30,9 +30,11 @@ STEPS = 2048
 #: The end of a text, and what stands before its first word.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose pairs one shard holds on average, and tokens that a task gathers before it sends them.
-SHARD_BYTES, GATHERED = 24_000_000, 1 << 21
+SHARD_BYTES, GATHERED = 12_000_000, 1 << 21
 #: Bytes that are hashed at once; cut between words.
 HASHED = 1 << 20
+#: Pairs that are looked up at once.
+ASKED = 1 << 18
 #: So many texts of one row that says which fell back to a word.
 LISTED = 5_000
 
@@ -295,7 +297,7 @@ def _judge(known: Common):
     def run(sent: pa.Table) -> pa.Table:
         contexts, followers, owners, rows, train, size = [], [], [], [], [], 0
         out = []
-        for r in sent.to_pylist():
+        for r in (r for batch in sent.to_batches(max_chunksize=1) for r in batch.to_pylist()):
             if r["texts"]:
                 out.append(_table(len(r["texts"]), **{k: [t[k] for t in r["texts"]] for k in r["texts"][0]}))
             runs, words = np.frombuffer(r["runs"], np.uint32), np.frombuffer(r["words"], np.uint64)
@@ -306,8 +308,12 @@ def _judge(known: Common):
             rows.append(np.frombuffer(r["rows"], np.int64))
             train.append(np.frombuffer(r["train"], np.uint8))
             size += len(rows[-1])
-        context, follower, owner, rows, train = (np.concatenate(x) for x in (contexts, followers, owners, rows, train))
-        del contexts, followers, owners, sent
+        context = np.concatenate(contexts)
+        del contexts
+        follower = np.concatenate(followers)
+        del followers
+        owner, rows, train = (np.concatenate(x) for x in (owners, rows, train))
+        del owners, sent
         if not len(context):
             return pa.concat_tables([*out, _table(0)])
         order = np.lexsort((follower, context))
@@ -332,7 +338,8 @@ def _judge(known: Common):
                 return np.memmap(file.name, x.dtype, "r", at, x.shape) if x.size else x
 
             trie = Trie(words, totals, kinds, place[taught], follower[taught], learnt[taught], keep)
-            steps, found = trie.query(context, follower)
+            blocks = range(0, len(context), ASKED)
+            steps, found = (np.concatenate(x) for x in zip(*(trie.query(context[i : i + ASKED], follower[i : i + ASKED]) for i in blocks), strict=True))
             del trie
         # by text: what its pairs come to
         plain = hot[place] < 0  # of common contexts the sender counts
