@@ -167,25 +167,28 @@ def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(rows, doc_ids, trained, followers, contexts, text of each) of about GATHERED tokens at a time."""
+    """(first row, doc_ids, trained, followers, contexts, text of each) of about GATHERED tokens at a time. Rows are numbered one after another."""
     held, n = [], 0
 
     def joined() -> tuple:
-        size = np.cumsum([0, *(len(h[0]) for h in held)])
+        size = np.cumsum([0, *(len(h[1]) for h in held)])
         tokens = np.concatenate([h[3] for h in held])
-        owner = np.concatenate([h[4] + k for h, k in zip(held, size, strict=False)])
-        return *(np.concatenate([h[i] for h in held]) for i in (0, 1, 2)), tokens, np.concatenate(([END], tokens[:-1])), owner
+        owner = np.concatenate([h[4] + np.int32(k) for h, k in zip(held, size, strict=False)])
+        out = held[0][0], *(np.concatenate([h[i] for h in held]) for i in (1, 2)), tokens, np.concatenate(([END], tokens[:-1])), owner
+        held.clear()
+        return out
 
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         for at in range(0, len(texts), 500):
             tokens, owner = token_hashes(texts[at : at + 500])
             ids = np.array(batch.column("doc_id")[at : at + 500].to_pylist(), object)
-            held.append((batch.column("row")[at : at + 500].to_numpy(zero_copy_only=False), ids, batch.column("train")[at : at + 500].to_numpy(zero_copy_only=False).astype(bool), tokens, owner))
+            held.append((batch.column("row")[at].as_py(), ids, batch.column("train")[at : at + 500].to_numpy(zero_copy_only=False).astype(bool), tokens, owner.astype(np.int32)))
             n += len(tokens)
+            del tokens, owner
             if n >= GATHERED:
+                n = 0
                 yield joined()
-                held, n = [], 0
     if held:
         yield joined()
 
@@ -234,8 +237,8 @@ class Common:
         return np.where(self.words[at] == words, at, -1)
 
 
-SENT = "shard int, contexts binary, runs binary, words binary, followers binary, owners binary, rows binary, train binary, texts array<struct<row:bigint,doc_id:bigint,n_tokens:bigint,n_known:bigint,base:double,steps:bigint>>"
-SENT_TYPES = [pa.int32(), *[pa.binary()] * 7, pa.list_(pa.struct([(n, pa.float64() if n == "base" else pa.int64()) for n in ("row", "doc_id", "n_tokens", "n_known", "base", "steps")]))]
+SENT = "shard int, contexts binary, runs binary, words binary, followers binary, owners binary, row bigint, texts array<struct<row:bigint,doc_id:bigint,n_tokens:bigint,n_known:bigint,base:double,steps:bigint>>"
+SENT_TYPES = [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.list_(pa.struct([(n, pa.float64() if n == "base" else pa.int64()) for n in ("row", "doc_id", "n_tokens", "n_known", "base", "steps")]))]
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -250,36 +253,41 @@ def _sender(shards: int, known: Common):
     names = [c.split()[0] for c in SENT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, train, follower, context, owner in _gathered(batches):
-            place = known.at(context)
+        for row, ids, train, follower, context, owner in _gathered(batches):
+            size, place = len(ids), known.at(context).astype(np.int32)
             hot = np.flatnonzero(place >= 0)
             total = known.totals[place[hot]]
-            base = np.bincount(owner[hot], np.log10(total + 1.0), len(rows))
-            n_known = np.bincount(owner[hot], total > 0, len(rows)).astype(np.int64)
-            steps, stays = np.zeros(len(rows), np.int64), np.ones(len(context), bool)
+            base = np.bincount(owner[hot], np.log10(total + 1.0), size)
+            n_known = np.bincount(owner[hot], total > 0, size).astype(np.int64)
+            steps, stays = np.zeros(size, np.int64), np.ones(len(context), bool)
             for (c, f), n in known.pairs.items():
                 here = hot[(context[hot] == np.uint64(c)) & (follower[hot] == np.uint64(f))]
                 if n and len(here):  # one that is common among texts held out only falls back in its shard
                     p = quantised(np.log10(np.array([(n - DISCOUNT) / known.totals[place[here[0]]]])))[0]
-                    steps += np.bincount(owner[here], minlength=len(rows)) * int(p)
+                    steps += np.bincount(owner[here], minlength=size) * int(p)
                     stays[here] = False
+            own = np.bincount(owner, minlength=size)
+            names_ = ("row", "doc_id", "n_tokens", "n_known", "base", "steps")
+            texts = [dict(zip(names_, r, strict=True)) for r in zip(range(row, row + size), ids.tolist(), own.tolist(), n_known.tolist(), base.tolist(), steps.tolist(), strict=True)]
+            del hot, total
             at = np.flatnonzero(stays)
-            c, f, o = context[at], follower[at], owner[at]
-            to = mix64(np.where(place[at] >= 0, c * np.uint64(3) + mix64(f), c)) % np.uint64(shards)
+            c, f, o = context[at], follower[at], owner[at] * 2 + train[owner[at]]
+            to = (mix64(np.where(place[at] >= 0, c * np.uint64(3) + mix64(f), c)) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.uint32)
+            del at, place, stays, context, follower, owner
             order = np.lexsort((f, c))
-            order = order[np.argsort(to[order].astype(np.uint16 if shards < 1 << 16 else np.uint32), kind="stable")]
+            order = order[np.argsort(to[order], kind="stable")]
             c, f, o, to = c[order], f[order], o[order], to[order]
-            own = np.bincount(owner, minlength=len(rows))
-            texts = [dict(zip(("row", "doc_id", "n_tokens", "n_known", "base", "steps"), r, strict=True)) for r in zip(rows.tolist(), ids.tolist(), own.tolist(), n_known.tolist(), base.tolist(), steps.tolist(), strict=True)]
+            del order
             cuts, out = np.searchsorted(to, np.arange(shards + 1)), []
-            target = int(rows[0]) % shards
+            target = row % shards
             for shard in range(shards):
                 a, b = cuts[shard], cuts[shard + 1]
                 if a == b and shard != target:
                     continue
                 new = np.flatnonzero(np.concatenate(([True], c[a + 1 : b] != c[a : b - 1]))[: b - a])
                 words, which = np.unique(f[a:b], return_inverse=True)
-                out.append((shard, c[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), words.tobytes(), _small(which), _small(o[a:b]), rows.tobytes(), train.astype(np.uint8).tobytes(), texts if shard == target else []))
+                out.append((shard, c[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), words.tobytes(), _small(which), _small(o[a:b]), row, texts if shard == target else []))
+            del c, f, o, to
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SENT_TYPES, strict=True)], names=names)
 
     return run
@@ -295,7 +303,7 @@ def _table(n: int, **columns) -> pa.Table:
 
 def _judge(known: Common):
     def run(sent: pa.Table) -> pa.Table:
-        contexts, followers, owners, rows, train, size = [], [], [], [], [], 0
+        contexts, followers, owners, train, rows, size = [], [], [], [], [], 0
         out = []
         for r in (r for batch in sent.to_batches(max_chunksize=1) for r in batch.to_pylist()):
             if r["texts"]:
@@ -304,10 +312,12 @@ def _judge(known: Common):
             n = int(runs.sum())
             contexts.append(np.repeat(np.frombuffer(r["contexts"], np.uint64), runs))
             followers.append(words[_numbers(r["followers"], n)])
-            owners.append(_numbers(r["owners"], n).astype(np.int32) + size)
-            rows.append(np.frombuffer(r["rows"], np.int64))
-            train.append(np.frombuffer(r["train"], np.uint8))
-            size += len(rows[-1])
+            who = _numbers(r["owners"], n)
+            train.append((who & 1).astype(bool))
+            own = int(who.max()) // 2 + 1 if n else 0
+            owners.append((who >> 1).astype(np.int32) + np.int32(size))
+            rows.append(np.arange(r["row"], r["row"] + own))
+            size += own
         context = np.concatenate(contexts)
         del contexts
         follower = np.concatenate(followers)
@@ -317,12 +327,12 @@ def _judge(known: Common):
         if not len(context):
             return pa.concat_tables([*out, _table(0)])
         order = np.lexsort((follower, context))
-        context, follower, owner = context[order], follower[order], owner[order]
+        context, follower, owner, train = context[order], follower[order], owner[order], train[order]
         del order
         new = np.concatenate(([True], (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])))
         first = np.flatnonzero(new)
-        pair = np.cumsum(new) - 1
-        learnt = np.add.reduceat(train[owner].astype(np.int64), first)
+        pair = np.cumsum(new, dtype=np.int32) - 1
+        learnt = np.add.reduceat(train.astype(np.int64), first)
         context, follower = context[first], follower[first]
         words, place = np.unique(context, return_inverse=True)
         totals, kinds = (np.bincount(place, v, len(words)).astype(np.int64) for v in (learnt, learnt > 0))
