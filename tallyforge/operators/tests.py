@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import kendall_tau_b, normal_tail, student_tails
+from ..functions.stats import normal_tail, student_tails
+from ..session import written
+from .ranks import discordant, signed_rank_table, tau_table
 
 
 def counts_below(sizes: DataFrame, value: str, counts: Sequence[str], *partition: str, buckets: int = 64) -> DataFrame:
@@ -20,6 +22,7 @@ def counts_below(sizes: DataFrame, value: str, counts: Sequence[str], *partition
     none = lambda c: F.coalesce(c, F.lit(0))
     if partition:
         return sizes.withColumns({f"_below_{c}": none(F.sum(c).over(upto(Window.partitionBy(*partition)))) for c in counts})
+    sizes = written(sizes, "sizes")  # read three times
     cuts = sizes.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)])).first()[0] or []
     sizes = sizes.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: F.col(value) > x)))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,10 +39,11 @@ def average_ranks(df: DataFrame, value: str, out: str, *partition: str) -> DataF
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """The signed-rank test of columns x and y: n (pairs that differ), w (the lesser rank sum), p_value by the normal approximation with tie
-    correction, 1 with w = 0 if no pair differs. Other tools use an exact p for few pairs."""
-    d = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select((F.col("x") - F.col("y")).alias("d")).where("d <> 0")
-    ranked = average_ranks(d.withColumn("a", F.abs("d")), "a", "r")
+    """The signed-rank test of columns x and y: n (pairs that differ), w (the lesser rank sum), p_value: exact for up to 50 pairs, none of them equal or tied in their
+    difference, else by the normal approximation with tie correction; 1 with w = 0 if no pair differs."""
+    whole = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select((F.col("x") - F.col("y")).alias("d"))
+    equal = whole.agg(F.count_if(F.col("d") == 0).alias("equal"))
+    ranked = average_ranks(whole.where("d <> 0").withColumn("a", F.abs("d")), "a", "r")
     sums = ranked.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("up"),
@@ -49,7 +53,19 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     w = F.least("up", "down")
     z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return sums.join(F.broadcast(ties)).select("n", w.alias("w"), F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * normal_tail(F.abs(z)))).alias("p_value"))
+    normal = F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * normal_tail(F.abs(z))))
+    got = sums.join(F.broadcast(ties)).join(F.broadcast(equal)).select("n", w.alias("w"), normal.alias("_p"), ((F.col("ties") == 0) & (F.col("equal") == 0)).alias("_plain"))
+    exact = F.broadcast(signed_rank_table(pairs.sparkSession))
+    return got.join(exact, ["n", "w"], "left").select("n", "w", F.when(F.col("_plain"), F.coalesce("exact", "_p")).otherwise(F.col("_p")).alias("p_value"))
+
+
+def paired_test(pairs: DataFrame) -> DataFrame:
+    """The signed-rank test and Cliff's delta of columns x and y as one row: statistic, p_value, cliffs_delta, note. Unpaired rows, where one side is null, raise ValueError."""
+    if pairs.where(F.col("x").isNull() != F.col("y").isNull()).limit(1).count():
+        raise ValueError("x and y must be paired")
+    delta = cliffs_delta(*(pairs.select(F.col(c).alias("v")) for c in "xy"))
+    note = F.when(F.col("n") == 0, F.lit("all differences zero"))
+    return wilcoxon(pairs).join(F.broadcast(delta)).select(F.col("w").alias("statistic"), "p_value", F.when(F.col("n") == 0, 0.0).otherwise(F.col("delta")).alias("cliffs_delta"), note.alias("note"))
 
 
 def cliffs_delta(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -62,20 +78,29 @@ def cliffs_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     return sums.select(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("s") / (F.col("a") * F.col("b"))).otherwise(F.lit(float("nan"))).alias("delta"))
 
 
-def kendall(pairs: DataFrame) -> DataFrame:
-    """tau-b of x and y over all rows and its p_value (normal approximation, ties corrected); NaN if either is constant. For vectors over a dimension: the pairs are
-    gathered into one row."""
-    tied = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.expr("t * (t - 1) / 2")).alias(f"{c}1"), F.sum(F.expr("t * (t - 1) * (t - 2)")).alias(f"{c}2"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).alias(f"{c}3"))
-    tau = pairs.agg(F.collect_list(F.struct("x", "y")).alias("p")).select(
-        F.size("p").cast("double").alias("n"), kendall_tau_b(F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"]), guarded=False).alias("tau_b")
+def kendall(pairs: DataFrame, *, exact: bool = True, buckets: int | None = None) -> DataFrame:
+    """tau-b of x and y over all rows without nulls and its p_value: exact for up to 33 rows without ties (unless exact is False), else by the normal approximation with ties corrected; NaN if
+    either is constant. Equal rows are counted first; discordant pairs are inversions in ranges of x and of y."""
+    spark = pairs.sparkSession
+    points = written(pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")), "points")
+    tied = lambda *by: points.groupBy(*by).agg(F.sum("c").cast("double").alias("t")).agg(
+        *[F.coalesce(F.sum(F.expr(e)), F.lit(0.0)).alias(f"{''.join(by)}{i}") for i, e in enumerate(("t", "t * (t - 1) / 2", "t * (t - 1) * (t - 2)", "t * (t - 1) * (2 * t + 5)"))]
+    )
+    sums = {k: v for by in (("x",), ("y",), ("x", "y")) for k, v in tied(*by).first().asDict().items()}
+    d = discordant(points, int(sums["x0"]), buckets)
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in sums.items()], F.lit(float(d)).alias("d"))
+    n, pairs_ = F.col("x0"), F.col("x0") * (F.col("x0") - 1)
+    score = pairs_ / 2 - F.col("x1") - F.col("y1") + F.col("xy1") - 2 * F.col("d")
+    scale = F.sqrt((pairs_ / 2 - F.col("x1")) * (pairs_ / 2 - F.col("y1")))
+    third = F.when(n > 2, F.col("x2") * F.col("y2") / (9 * pairs_ * F.nullif(n - 2, F.lit(0.0)))).otherwise(0.0)
+    spread = (pairs_ * (2 * n + 5) - F.col("x3") - F.col("y3")) / 18 + 2 * F.col("x1") * F.col("y1") / F.nullif(pairs_, F.lit(0.0)) + third
+    normal = F.least(F.lit(1.0), 2 * normal_tail(F.abs(score) / F.sqrt(F.nullif(spread, F.lit(0.0)))))
+    nan = F.lit(float("nan"))
+    got = row.select(
+        n.cast("long").alias("n"), F.col("d").cast("long").alias("d"), F.when(F.coalesce(scale, F.lit(0.0)) == 0, nan).otherwise(score / F.nullif(scale, F.lit(0.0))).alias("tau_b"), normal.alias("_p"), ((F.col("x1") == 0) & (F.col("y1") == 0) & F.lit(exact)).alias("_plain")
     )
-    n, all_ = F.col("n"), F.col("n") * (F.col("n") - 1)
-    score = F.col("tau_b") * F.sqrt((all_ / 2 - F.col("x1")) * (all_ / 2 - F.col("y1")))
-    third = F.when(n > 2, F.col("x2") * F.col("y2") / (9 * all_ * F.nullif(n - 2, F.lit(0.0)))).otherwise(0.0)
-    spread = (all_ * (2 * n + 5) - F.col("x3") - F.col("y3")) / 18 + 2 * F.col("x1") * F.col("y1") / all_ + third
-    z = F.abs(score) / F.sqrt(spread)
-    p = F.when(F.isnan("tau_b"), F.lit(float("nan"))).otherwise(F.least(F.lit(1.0), 2 * normal_tail(z)))
-    return tau.join(F.broadcast(tied("x"))).join(F.broadcast(tied("y"))).select("tau_b", p.alias("p_value"))
+    p = F.when(F.isnan("tau_b"), nan).when(F.col("_plain"), F.coalesce("exact", "_p")).otherwise(F.col("_p"))
+    return got.join(F.broadcast(tau_table(spark)), ["n", "d"], "left").select("tau_b", p.alias("p_value"))
 
 
 def spearman(pairs: DataFrame) -> DataFrame:

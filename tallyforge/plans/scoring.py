@@ -273,6 +273,21 @@ def cliffs_delta(spark, sf_dir):
     return T.cliffs_delta(xy.select(F.col("x").alias("v")), xy.select(F.col("y").alias("v"))).select(rounded("delta", 6).alias("delta"))
 
 
+@query(f"SELECT w AS statistic, p_value, delta AS cliffs_delta, CAST(NULL AS VARCHAR) AS note FROM ({SQL['wilcoxon_w']}), ({SQL['cliffs_delta']})")
+def paired_test(spark, sf_dir):
+    got = T.paired_test(_xy(spark, sf_dir))
+    return got.select(F.col("statistic").cast("double").alias("statistic"), rounded("p_value", 6).alias("p_value"), rounded("cliffs_delta", 6).alias("cliffs_delta"), "note")
+
+
+@query()
+def mean_interval(spark, sf_dir):
+    """Bootstrap intervals of the mean pass rate over all tasks, by relation: weights by hash, so any number of tasks will do."""
+    from ..operators.ranks import poisson_bootstrap
+
+    rates = V.attempts(spark, sf_dir).groupBy("task", "relation").agg((F.count_if("passed") / F.count(F.lit(1))).alias("p"))
+    return poisson_bootstrap(rates, "p", ["task", "relation"], by=["relation"])
+
+
 @query(f"{_XY} SELECT round(sum(sign(b.x - a.x) * sign(b.y - a.y)) / sqrt(CAST(sum(abs(sign(b.x - a.x))) * sum(abs(sign(b.y - a.y))) AS DOUBLE)), 6) AS tau_b FROM xy a JOIN xy b ON a.task < b.task")
 def kendall_raw(spark, sf_dir):
     return T.kendall(_xy(spark, sf_dir)).select(rounded("tau_b", 6).alias("tau_b"))

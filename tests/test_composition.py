@@ -61,7 +61,7 @@ def test_p_values(spark):
         got = spark.range(1).select(stats.student_tails(F.lit(t), F.lit(freedom)).alias("p")).first().p
         assert got == pytest.approx(p, abs=2e-4)
     pairs = spark.createDataFrame([(float(x), float(y)) for x, y in zip(range(8), (1, 2, 4, 3, 6, 5, 8, 7))], "x double, y double")
-    k, s = T.kendall(pairs).first(), T.spearman(pairs).first()
+    k, s = T.kendall(pairs, exact=False).first(), T.spearman(pairs).first()
     assert k.tau_b == pytest.approx(22 / 28) and k.p_value == pytest.approx(math.erfc(22 / math.sqrt(8 * 7 * 21 / 18) / math.sqrt(2)), abs=1e-6)
     assert s.rho == pytest.approx(1 - 6 * 6 / (8 * 63)) and 0 < s.p_value < 0.001
 

@@ -90,3 +90,36 @@ def test_incremental(spark, tmp_path):
         running_rates(follow_attempts(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
         got = latest_rates(spark, str(tmp_path / "out")).first()
         assert (got.n, got.correct, got.pass_at_1) == (2 * (turn + 1), turn + 1, 0.5)
+
+
+def test_batches_write_what_they_change(spark, tmp_path):
+    """Cells that a batch doesn't touch aren't written again; a batch repeated after a crash changes nothing; folding keeps every cell."""
+    from tallyforge.streaming import incremental as I
+
+    schema = "task int, relation string, model string, sample_ix int, passed boolean"
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(rows, checkpoint="cp"):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        I.running_rates(I.follow_attempts(spark, path, spark.createDataFrame([], schema).schema), out, str(tmp_path / checkpoint)).awaitTermination(60)
+
+    state = lambda: {r.task: (r.n, r.correct) for r in I.latest_rates(spark, out).collect()}
+    run([(t, "r", "m", 0, t % 2 == 0) for t in range(50)])
+    run([(7, "r", "m", 1, True)])
+    steps = sorted((tmp_path / "out").glob("step=*"), key=lambda p: int(p.name[5:]))
+    assert spark.read.parquet(str(steps[-1])).count() == 1
+    want = {t: (2, 1) if t == 7 else (1, int(t % 2 == 0)) for t in range(50)}
+    assert state() == want
+    run([])  # nothing new
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()  # as if the driver had died before it noted the batch
+    (tmp_path / "cp" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run([])
+    assert state() == want
+    (tmp_path / "out" / "step=99").mkdir()  # a step that was never finished
+    I.compact(spark, out)
+    I.compact(spark, out)
+    assert state() == want and sorted(p.name[:4] for p in (tmp_path / "out").glob("*=*")) == ["step", "upto"]
+    run([(7, "r", "m", 2, False), (60, "r", "m", 0, True)])
+    assert state() == want | {7: (3, 1), 60: (1, 1)}
