@@ -1,4 +1,4 @@
-"""A program's calls in one interpreter. `programs.outputs_of` starts this file's text in a process of its own, which reads a job and writes results as JSON.
+"""Programs' calls in one interpreter. `programs.run_blocks` starts this file's text in a process of its own, which reads jobs and writes results as JSON.
 
 Every call runs the whole program in a new namespace. A program that can't leave anything behind but in its namespace shares one fork for its calls; another, and a call
 that its fork doesn't survive, gets a fork of its own. It imports nothing of the package: the interpreter is isolated.
@@ -139,12 +139,15 @@ def results(sources: list, timeout: float, shared: bool):
 
 
 def main() -> None:
-    job = json.load(sys.stdin)
-    sources = [job["code"] + x for x in job["sources"]]
-    for i, found in enumerate(results(sources, job["timeout"], keeps_to_itself(job["code"]))):
-        os.write(1, json.dumps(found).encode() + b"\n")
-        if job["wanted"] and (found[0] or (found[2].strip() if found[1] else "__error__:" + found[3][:60]) != job["wanted"][i]):
-            return
+    """For each job a line a result, [job, late, passed, stdout, stderr], and [job] at its end."""
+    work = json.load(sys.stdin)
+    for k, job in enumerate(work["jobs"]):
+        sources = [job["code"] + x for x in job["sources"]]
+        for i, found in enumerate(results(sources, work["timeout"], keeps_to_itself(job["code"]))):
+            os.write(1, json.dumps([k, *found]).encode() + b"\n")
+            if job["wanted"] and (found[0] or (found[2].strip() if found[1] else "__error__:" + found[3][:60]) != job["wanted"][i]):
+                break
+        os.write(1, json.dumps([k]).encode() + b"\n")
 
 
 if __name__ == "__main__":

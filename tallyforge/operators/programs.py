@@ -277,34 +277,52 @@ def output_of(code: str, entry_point: str, args: str, timeout: float) -> str:
     return TIMEOUT if late else out.strip() if ok else f"__error__:{err[:60]}"
 
 
-def outputs_of(code: str, entry_point: str, calls: Sequence[str], timeout: float, wanted: Sequence[str] | None = None) -> list[str]:
-    """output_of for a block of calls, in one child process that forks for each, so that no call sees what another did and each has its own time limit.
+#: Jobs of one child process.
+JOBS = 32
+
+
+def run_blocks(jobs: Sequence[tuple[str, str, Sequence[str], Sequence[str] | None]], timeout: float) -> list[list[str]]:
+    """output_of for the calls of each job (code, entry point, calls, wanted outputs or None), in a child process that forks, so that no call sees what another did and each
+    has its own time limit.
 
-    With wanted, it ends after the first output that differs. A call that takes the child process along is an error; the rest go on in another.
+    With wanted outputs, a job ends after the first that differs. A call that takes the child process along is an error; the rest go on in another.
     """
-    found: list[str] = []
-    while len(found) < len(calls):
-        began, left = len(found), slice(len(found), None)
-        job = {"code": code + "\n", "sources": [_call(entry_point, x) for x in calls[left]], "timeout": timeout, "wanted": list(wanted[left]) if wanted else None}
+    found: list[list[str]] = [[] for _ in jobs]
+    left = [k for k, job in enumerate(jobs) if len(job[2])]
+    while left:
+        asked, starts = left[:JOBS], [len(x) for x in found]
+        part = [(jobs[k], found[k]) for k in asked]
+        work = [{"code": code + "\n", "sources": [_call(name, x) for x in calls[len(done) :]], "wanted": list(wanted[len(done) :]) if wanted else None} for (code, name, calls, wanted), done in part]
         with tempfile.TemporaryDirectory() as folder:
             run = _start(folder, inspect.getsource(child), subprocess.PIPE)
             try:
-                lines = run.communicate(json.dumps(job).encode(), timeout=(timeout + 1) * len(job["sources"]) + 10)[0]
+                lines = run.communicate(json.dumps({"timeout": timeout, "jobs": work}).encode(), timeout=(timeout + 1) * sum(len(w["sources"]) for w in work) + 10)[0]
             except subprocess.TimeoutExpired:
                 os.killpg(run.pid, 9)
                 lines = run.communicate()[0]
+        ended = set()
         for line in lines.split(b"\n")[:-1]:
-            late, ok, out, err = json.loads(line)
-            found.append(TIMEOUT if late else out.strip() if ok else f"__error__:{err[:60]}")
-        if wanted and any(x != y for x, y in zip(found, wanted, strict=False)):
-            break
-        if len(found) == began:
-            found.append("__error__:")
-    if wanted:
-        found = found[: 1 + next((i for i, x in enumerate(found) if x != wanted[i]), len(found))]
+            k, *result = json.loads(line)
+            if result:
+                late, ok, out, err = result
+                found[asked[k]].append(TIMEOUT if late else out.strip() if ok else f"__error__:{err[:60]}")
+            else:
+                ended.add(asked[k])
+        left = [k for k in left if k not in ended]
+        if left and left[0] in asked:  # the one at which the child process ended
+            k = left[0]
+            if len(found[k]) == starts[k]:
+                found[k].append("__error__:")
+            calls, wanted = jobs[k][2:]
+            if len(found[k]) == len(calls) or (wanted and found[k][-1] != wanted[len(found[k]) - 1]):
+                left = left[1:]
     return found
 
 
+def outputs_of(code: str, entry_point: str, calls: Sequence[str], timeout: float, wanted: Sequence[str] | None = None) -> list[str]:
+    return run_blocks([(code, entry_point, calls, wanted)], timeout)[0]
+
+
 def shared(output: str) -> str:
     """An output as solutions are compared: every error and timeout is `__error__`."""
     return "__error__" if output == TIMEOUT or output.startswith("__error__:") else output
@@ -333,7 +351,7 @@ def output_table(programs: DataFrame, *, timeout: float = 5.0) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def run(code: pd.Series, entry_point: pd.Series, args: pd.Series) -> pd.Series:
-        return pd.Series([outputs_of(c, e, list(a), timeout) for c, e, a in zip(code, entry_point, args, strict=True)], dtype=object)
+        return pd.Series(run_blocks([(c, e, list(a), None) for c, e, a in zip(code, entry_point, args, strict=True)], timeout), dtype=object)
 
     return programs.withColumn("outs", run.asNondeterministic()("code", "entry_point", "args"))
 
@@ -355,7 +373,7 @@ def judge_mutants(tasks: DataFrame, mutants: DataFrame, *, n_inputs: int = 500,
     executors repeat the blocks they had at most. Mutants of unknown tasks are left out.
     """
     spark = tasks.sparkSession
-    deal = spark.sparkContext.defaultParallelism * 4
+    deal = spark.sparkContext.defaultParallelism * 2
     canon = tasks.select("task_id", "entry_point", F.concat("prompt", "canonical_solution").alias("code"))
     blocks = input_blocks(tasks, n_inputs, seed).join(canon, "task_id").repartition(deal, "task_id", "first")
     calls = F.filter(F.transform("args", lambda a, i: F.struct(a.alias("args"), (F.col("first") + i).alias("ix"), F.get(F.col("outs"), i).alias("out"))), lambda c: c["out"] != TIMEOUT)
@@ -367,11 +385,8 @@ def judge_mutants(tasks: DataFrame, mutants: DataFrame, *, n_inputs: int = 500,
     @F.pandas_udf("bigint")
     def diverged(code: pd.Series, entry_point: pd.Series, args: pd.Series, outs: pd.Series) -> pd.Series:
         """How many outputs agree before the first that doesn't; null if all do."""
-        found = []
-        for c, e, a, w in zip(code, entry_point, args, outs, strict=True):
-            got = outputs_of(c, e, list(a), timeout, list(w)) if len(a) else []
-            found.append(next((i for i, (x, y) in enumerate(zip(got, w, strict=False)) if x != y), None))
-        return pd.Series(found, dtype="Int64")
+        got = run_blocks([(c, e, list(a), list(w)) for c, e, a, w in zip(code, entry_point, args, outs, strict=True)], timeout)
+        return pd.Series([next((i for i, (x, y) in enumerate(zip(g, w, strict=False)) if x != y), None) for g, w in zip(got, outs, strict=True)], dtype="Int64")
 
     ends = [e for e in ROUNDS if e < n_inputs] + [n_inputs]
     alive, found, start = judged.where(~F.col("same")), None, 0
@@ -442,7 +457,7 @@ def shared_divergence(solutions: DataFrame, tasks: DataFrame, *, n_inputs: int =
     """
     code = solutions.join(tasks.select("task_id", "prompt", "entry_point"), "task_id").select("task_id", "sol", "entry_point", program_of(F.col("completion"), F.col("prompt"), F.col("entry_point")).alias("code"))
     calls = code.where(F.col("code").isNotNull()).join(input_blocks(tasks, n_inputs, seed), "task_id")
-    calls = calls.repartition(deal or calls.sparkSession.sparkContext.defaultParallelism * 4, "task_id", "sol", "first")
+    calls = calls.repartition(deal or calls.sparkSession.sparkContext.defaultParallelism * 2, "task_id", "sol", "first")
     ran = output_table(calls, timeout=timeout).select("task_id", "sol", "first", F.posexplode("outs").alias("i", "out"))
     failed = (F.col("out") == TIMEOUT) | F.startswith("out", F.lit("__error__:"))
     ran = ran.withColumn("out", F.when(failed, "__error__").otherwise(F.col("out")))
