@@ -156,6 +156,36 @@ def mutant_counts(spark, sf_dir):
     return P.mutant_table(task_corpus(spark, sf_dir)).groupBy("task_id", "operator").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _programs(spark, sf_dir):
+    tasks = task_corpus(spark, sf_dir)
+    whole = tasks.select("task_id", F.lit("").alias("mutant_id"), F.concat("prompt", "canonical_solution").alias("code"))
+    return whole.unionByName(P.mutant_table(tasks).select("task_id", "mutant_id", "code"))
+
+
+# By hand, for each of TASKS in turn: nodes, depth and cyclomatic complexity.
+@query("""SELECT 'Bench/' || item_id AS task_id, '' AS mutant_id, CAST(n AS BIGINT) AS n_nodes, CAST(d AS BIGINT) AS depth, CAST(c AS BIGINT) AS cyclomatic
+FROM benchmark JOIN (VALUES (0, 15, 4, 1), (1, 28, 4, 3), (2, 32, 7, 2), (3, 15, 5, 1)) k(kind, n, d, c) ON item_id % 4 = kind""")
+def program_complexity(spark, sf_dir):
+    from ..operators.trees import complexity, syntax_nodes
+
+    return complexity(syntax_nodes(_programs(spark, sf_dir).where("mutant_id = ''")))
+
+
+@query()
+def kills_by_complexity(spark, sf_dir):
+    from ..operators.trees import rates_by_complexity
+
+    return rates_by_complexity(kill_matrix(spark, sf_dir), program_complexity(spark, sf_dir))
+
+
+@query()
+def mutant_distances(spark, sf_dir):
+    """A task's program and mutants that are at most three edits apart."""
+    from ..operators.trees import near_programs, syntax_nodes
+
+    return near_programs(syntax_nodes(_programs(spark, sf_dir)), 3)
+
+
 @query()
 def mutants_fallback(spark, sf_dir):
     return P.fallback_table(task_corpus(spark, sf_dir))

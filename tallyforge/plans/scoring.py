@@ -279,6 +279,37 @@ def paired_test(spark, sf_dir):
     return got.select(F.col("statistic").cast("double").alias("statistic"), rounded("p_value", 6).alias("p_value"), rounded("cliffs_delta", 6).alias("cliffs_delta"), "note")
 
 
+_KILLED = f"""WITH {V.SQL_OUTPUTS}, k AS (SELECT o.task, o.sol AS mutant, o.inp FROM outputs o JOIN outputs c ON o.task = c.task AND o.inp = c.inp AND c.sol = 0 WHERE o.sol > 0 AND o.out <> c.out),
+s AS (SELECT task, mutant, list_sort(list(DISTINCT inp)) AS inputs FROM k GROUP BY 1, 2), c AS (SELECT task, inputs, min(mutant) AS class FROM s GROUP BY 1, 2)"""
+
+
+@query(f"""{_KILLED}, b AS (SELECT w.task, w.class, count(*) FILTER (len(x.inputs) < len(w.inputs) AND list_has_all(w.inputs, x.inputs)) AS subsumed_by FROM c w JOIN c x ON w.task = x.task GROUP BY 1, 2)
+SELECT s.task, s.mutant, c.class, len(s.inputs) AS n_inputs, subsumed_by, subsumed_by = 0 AS minimal FROM s JOIN c ON s.task = c.task AND s.inputs = c.inputs JOIN b ON b.task = c.task AND b.class = c.class""")
+def minimal_mutants(spark, sf_dir):
+    """Solutions as mutants of each task's first, killed by the inputs on which they differ."""
+    from ..operators.subsumption import minimal_mutants as minimal
+
+    out = V.outputs(spark, sf_dir)
+    canonical = out.where("sol = 0").select("task", "inp", F.col("out").alias("want"))
+    return minimal(out.where("sol > 0").join(canonical, ["task", "inp"]).where("out <> want").select("task", F.col("sol").alias("mutant"), "inp"))
+
+
+@query(f"{BY_LEVEL} SELECT a.task, any_value(n) AS n, round(median((b.mean_tau_b - a.mean_tau_b) / (b.level - a.level)), 6) + 0 AS slope FROM means a JOIN means b ON a.task = b.task AND a.level < b.level JOIN (SELECT task, count(*) AS n FROM means GROUP BY 1) c ON c.task = a.task GROUP BY a.task")
+def tau_slopes(spark, sf_dir):
+    from ..operators.subsumption import robust_slopes
+
+    return robust_slopes(_by_level(spark, sf_dir), "level", "mean_tau_b", ["task"]).withColumn("slope", rounded("slope", 6))
+
+
+@query()
+def slope_interval(spark, sf_dir):
+    """The mean slope of rank agreement against the level of degradation, with its bootstrap interval over tasks."""
+    from ..operators.ranks import poisson_bootstrap
+    from ..operators.subsumption import robust_slopes
+
+    return poisson_bootstrap(robust_slopes(_by_level(spark, sf_dir), "level", "mean_tau_b", ["task"]), "slope", ["task"])
+
+
 @query()
 def mean_interval(spark, sf_dir):
     """Bootstrap intervals of the mean pass rate over all tasks, by relation: weights by hash, so any number of tasks will do."""
