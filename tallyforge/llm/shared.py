@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,19 +23,6 @@ def lean_batches(spark: SparkSession, megabytes: int = 8, rows: int = 2_000) ->
             spark.conf.set(key, value)
 
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else the warehouse. Only where the executors are this process does a temporary one serve."""
-    context = spark.sparkContext
-    if folder := context.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if not context.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir")
-    return _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tallyforge-"))
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that its lineage ends there and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
