@@ -30,7 +30,7 @@ STEPS = 2048
 #: The end of a text, and what stands before its first word.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose pairs one shard holds on average, and tokens that a task gathers before it sends them.
-SHARD_BYTES, GATHERED = 12_000_000, 1 << 21
+SHARD_BYTES, GATHERED = 16_000_000, 1 << 21
 #: Bytes that are hashed at once; cut between words.
 HASHED = 1 << 20
 #: Pairs that are looked up at once.
