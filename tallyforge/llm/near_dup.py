@@ -2,8 +2,9 @@
 
 A text is its whitespace-separated lower-case words. Its k-mers are runs of five words, each labelled with how often it has occurred before, so that a
 multiset of k-mers becomes a set. A sketch takes the ELL k-mers least under one hash function and keeps them in text order: two texts agree in
-it only if they share these k-mers in the same order, so the sketch is sensitive to edit similarity. Texts that agree in any sketch are
-candidates; a banded alignment of their words decides.
+it only if they share these k-mers in the same order, so the sketch is sensitive to edit similarity. A few edits leave a short text hardly any run of five
+words, so texts of up to SHORT words are sketched by SHORT_ELL single words in order instead, and texts long enough for a link with such a one by
+both. Texts that agree in any sketch are candidates; a banded alignment of their words decides.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from .shared import discard, gram_hash, lean_batches, materialize, mix64, word_h
 
 SHINGLE = 5
 ELL = 2
+SHORT = 120
+SHORT_ELL = 4
 #: A power of two.
 SKETCHES = 64
 SIMILARITY = 0.8
+#: The most words of a text that may be linked with one of SHORT words.
+NEAR_SHORT = int(SHORT / SIMILARITY + 1e-9)
 #: Texts of a block, and of a tile within it, when a group's texts are judged all with all.
 BLOCK = 2048
 TILE = 128
@@ -43,11 +48,23 @@ def occurrence_labels(grams: np.ndarray) -> np.ndarray:
 
 
 def order_sketches(words: np.ndarray) -> list[int]:
-    """SKETCHES hashes of ELL ordered k-mers; none for texts under SHINGLE words."""
-    if len(words) < SHINGLE:
-        return []
-    labels = occurrence_labels(gram_hash(words, SHINGLE))
-    ell = min(ELL, len(labels))
+    """SKETCHES hashes of ELL ordered k-mers for texts over SHORT words, then as many of SHORT_ELL ordered words for those up to NEAR_SHORT words. The last
+    bit tells the two apart. Texts under SHORT_ELL words have none: no edit leaves them alike enough for a link."""
+    out = []
+    if len(words) > SHORT:
+        out += ordered_minima(occurrence_labels(gram_hash(words, SHINGLE)), ELL, 0)
+    if SHORT_ELL <= len(words) <= NEAR_SHORT:
+        out += ordered_minima(occurrence_labels(words), SHORT_ELL, 1)
+    return out
+
+
+def of_kind(sketches: np.ndarray, kind: int) -> np.ndarray:
+    """Those of a text's sketches whose last bit is kind, in the order of the hash functions."""
+    return sketches[-SKETCHES:] if kind else sketches[:SKETCHES]
+
+
+def ordered_minima(labels: np.ndarray, ell: int, kind: int) -> list[int]:
+    """For each hash function a hash of the ell least labels in text order, whose last bit is kind."""
     step = max(1, (1 << 18) // len(labels))
     out = np.zeros(SKETCHES, np.uint64)
     for i in range(0, SKETCHES, step):
@@ -63,7 +80,7 @@ def order_sketches(words: np.ndarray) -> list[int]:
         for j in range(ell):
             acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + labels[at[:, j]])
         out[i : i + step] = mix64(acc + _seeds[i : i + step])  # equal under one hash function only
-    return out.view(np.int64).tolist()
+    return (out & ~np.uint64(1) | np.uint64(kind)).view(np.int64).tolist()
 
 
 def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -240,7 +257,7 @@ def labelled(words: np.ndarray, q: int) -> np.ndarray:
     return occurrence_labels(gram_hash(words, q)) if len(words) >= q else np.zeros(0, np.uint64)
 
 
-#: Texts of a block: roots, words and a row of sketches each.
+#: Texts of a block: roots, words and a row of sketches of one kind each.
 Side = tuple[list[bytes], list[np.ndarray], np.ndarray]
 
 
@@ -275,7 +292,7 @@ def block_links(sketch: int, left: Side, right: Side, same: bool) -> list[tuple[
                 fit = np.triu(fit, 1)
             if fit.any():
                 x, y = sketches[0][i : i + TILE], sketches[1][j : j + TILE]
-                turn = ((x[:, 0, None] ^ y[None, :, 0]) & (SKETCHES - 1)).astype(np.uint8)
+                turn = ((x[:, 0, None] ^ y[None, :, 0]) >> 1 & (SKETCHES - 1)).astype(np.uint8)
                 rank = np.where(x[:, None, :] == y[None, :, :], np.arange(SKETCHES, dtype=np.uint8) ^ turn[:, :, None], np.uint8(255))
                 fit &= np.take_along_axis(np.broadcast_to(x[:, None, :], rank.shape), rank.argmin(axis=2)[:, :, None], axis=2)[:, :, 0] == sketch
             for q in (4, 3):
@@ -325,7 +342,7 @@ def remaining_links(grouped: DataFrame, roots: DataFrame, tokens: DataFrame) ->
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         keys = np.stack([rows[c].to_numpy(np.int64) for c in columns[:4]])
         block, lower = rows["block"].to_numpy(), rows["lower"].to_numpy()
-        root, words, sketches = list(rows["root"]), [np.frombuffer(w, np.uint32) for w in rows["words"]], np.stack(rows["sketches"].to_list())
+        root, words, sketches = list(rows["root"]), [np.frombuffer(w, np.uint32) for w in rows["words"]], np.stack([of_kind(s, k & 1) for s, k in zip(rows["sketches"], keys[0].tolist(), strict=True)])
         order = np.lexsort(keys)
         edges = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0)) + 1
         found = []
@@ -373,12 +390,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Classes of near-duplicates: doc_id, class_id (the least doc_id of the class), class_size; one row a row of docs.
 
     Texts with the same words are copies and count once from there on. Candidates are linked if their words align with an edit similarity of 0.8 or more (at
-    most 0.2 edits a word of the longer text); a class is a component of links. Texts that share a part J of their five-word shingles are candidates
+    most 0.2 edits a word of the longer text); a class is a component of links. Texts over 120 words that share a part J of their five-word shingles are candidates
     with a probability of about 1 - (1 - J**2)**64: all but one in 10**28 at J = 0.8, and 0.92 at J = 0.2, which is about what edits of single words leave at
-    the similarity of 0.8. A group of one sketch is compared with the text that a hash puts first. What these links leave in
+    the similarity of 0.8. Shorter ones that share a part J of their words, in one order, are with about 1 - (1 - J**4)**64: 0.98 and more at J = 0.5, the least that
+    a link of five words leaves. A group of one sketch is compared with the text that a hash puts first. What these links leave in
     different components is then judged exactly (remaining_links), so no link between texts that share a sketch is lost.
 
-    A text that is null or has no words is a class of its own row; one of fewer than five words has no shingle and only copies. Texts of any length are aligned
+    A text that is null or has no words is a class of its own row; one of fewer than four words has only copies, as any edit leaves it less alike, and one of four is linked with texts of five that add a word. Texts of any length are aligned
     whole: in bands of bits, a text of n words in n steps on at most 0.4 n bits, and only where counts of words and of runs of three and four allow a link. A null
     doc_id counts as the largest; repeated rows are copies; an empty table gives an empty result; other columns are ignored.
     """

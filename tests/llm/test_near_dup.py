@@ -7,7 +7,7 @@ import pytest
 
 from tallyforge.llm import near_dup
 
-from test_operators import lev, substituted
+from test_operators import frame, lev, substituted
 
 
 def fresh(rng, n):
@@ -44,9 +44,44 @@ def test_recall_of_scattered_edits(n, share, least):
     assert recall(n, share) >= least
 
 
-@pytest.mark.parametrize("n, share, least", [(10, 0.1, 0.6), (20, 0.05, 0.99), (20, 0.1, 0.95), (20, 0.15, 0.8)])
-def test_recall_of_short_texts(n, share, least):
-    assert recall(n, share) >= least
+@pytest.mark.parametrize("n", [5, 6, 8, 9, 10, 14, 20, 50, 100, 120, 121, 149])
+def test_recall_of_short_texts(n):
+    """As many edits as a link allows."""
+    assert recall(n, 0.2) >= 0.97
+
+
+@pytest.mark.parametrize("n", [151, 160, 200, 300])
+def test_recall_of_long_texts(n):
+    assert recall(n, 0.2) >= 0.9
+
+
+@pytest.mark.parametrize("n", [4, 5, 119, 120, 121, 149, 150, 151])
+def test_texts_that_differ_in_length_share_a_kind_of_sketch(n):
+    rng = random.Random(n)
+    a = fresh(rng, n)
+    for longer in range(n + 1, n + n // 4 + 1):
+        x, y = (set(near_dup.order_sketches(near_dup.word_hashes(t))) for t in (a, a + " " + fresh(rng, longer - n)))
+        assert x & y, longer
+
+
+def test_classes_of_short_texts_equal_all_pairs(spark):
+    """Originals of 3 to 160 words with up to a fifth of their words edited and one edit too many, over few different words: all pairs by plain edit distances."""
+    rng, texts = random.Random(11), []
+    for n in (3, 4, 5, 6, 8, 9, 10, 14, 19, 20, 33, 60, 118, 122, 148, 152, 160):
+        base = " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+        edits = [0, 1, max(1, n // 10), n // 6, n // 5 + 1]
+        texts += [base] + [scattered(base, e, rng) for e in edits]
+    words = [t.split() for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            longer = max(len(words[i]), len(words[j]))
+            if parent[i] != parent[j] and words[i] and words[j] and 5 * abs(len(words[i]) - len(words[j])) <= longer and 5 * lev(words[i], words[j]) <= longer:
+                both = {parent[i], parent[j]}
+                parent = [min(both) if p in both else p for p in parent]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(parent))
+    assert len(set(parent)) < len(texts) - 40
 
 
 def test_appended_and_shared_shingles():

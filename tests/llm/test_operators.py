@@ -378,7 +378,7 @@ def test_classes_equal_brute_force(spark):
 def sketched_classes(texts):
     """Classes by brute force over all pairs of texts that share a sketch."""
     words = [near_dup.word_hashes(t.lower()) for t in texts]
-    sketches = [set(enumerate(near_dup.order_sketches(w))) for w in words]
+    sketches = [set(near_dup.order_sketches(w)) for w in words]  # a sketch tells its hash function
     short = [(w >> np.uint64(32)).astype(np.uint32).tobytes() for w in words]
     parent = list(range(len(texts)))
     for i in range(len(texts)):
