@@ -33,6 +33,10 @@ NEAR_SHORT = int(SHORT / SIMILARITY + 1e-9)
 BLOCK = 2048
 TILE = 128
 PART = 1024
+#: Pairs of a tile that are aligned at once, the bits of a column that they may have, and the words up to which texts are.
+PAIRS = 1024
+ROW_BITS = 1 << 18
+LONG = 2048
 _seeds = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -159,6 +163,53 @@ def banded(a: list[int], b: list[int], band: int) -> int | None:
     return cost if cost <= band else None
 
 
+def within(a: list[np.ndarray], b: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
+    """Whether each of a and its partner in b are at most their bound of edits apart: the alignments of banded for all pairs at once, a column of each at a time.
+
+    The columns' bits lie in 64-bit words, in a band as wide as the largest bound needs. Where a pair ends is on one diagonal from its start, along which values
+    never fall: they are counted up there, and pairs beyond their bound are left out from time to time. No two lengths may differ by more than their bound.
+    """
+    a, b = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
+    n, m = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    band = int(bounds.max())
+    width = 64 * (band // 32 + 1)
+    columns = int(m.max())
+    short = np.zeros((columns, len(b)), np.uint32)
+    for k, y in enumerate(b):
+        short[: len(y), k] = y
+    before = next(v for v in range(columns * len(b) + 1) if not (short == v).any())  # equal to no word of b
+    long = np.full((len(a), band + int(n.max()) + width), before, np.uint32)
+    for row, x in zip(long, a, strict=True):
+        row[band : band + len(x)] = x
+    rise = np.tile(np.packbits(np.arange(width) >= band, bitorder="little").view(np.uint64), (len(a), 1))
+    fall = np.zeros_like(rise)
+    one, top = np.uint64(1), np.uint64(63)
+    cost, place, live = n - m, n - m + band, np.arange(len(a))
+    out = np.zeros(len(a), bool)
+    for j in range(columns):
+        equal = np.packbits(long[:, j : j + width] == short[j][:, None], axis=1, bitorder="little").view(np.uint64)
+        hit = equal & rise
+        flat, carry = hit + rise, np.zeros(len(hit), np.uint64)
+        for k in range(flat.shape[1]):
+            flat[:, k] += carry
+            carry = (hit[:, k] | (rise[:, k] & ~flat[:, k])) >> top
+        flat ^= rise
+        flat |= equal
+        flat |= fall
+        right_rise, right_fall = fall | ~(flat | rise), flat & rise
+        cost = cost + ((flat[np.arange(len(flat)), place >> 6] >> (place & 63).astype(np.uint64) & one == 0) & (j < m))
+        onward = flat >> one
+        onward[:, :-1] |= flat[:, 1:] << top
+        rise, fall = right_fall | ~(onward | right_rise), onward & right_rise
+        if j % 16 == 15 and np.count_nonzero(keep := cost <= bounds) < 0.75 * len(keep):
+            long, rise, fall, short = long[keep], rise[keep], fall[keep], short[:, keep]
+            cost, place, live, m, bounds = cost[keep], place[keep], live[keep], m[keep], bounds[keep]
+            if not len(live):
+                break
+    out[live[cost <= bounds]] = True
+    return out
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """The size of the multisets' intersection."""
     values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -300,10 +351,22 @@ def block_links(sketch: int, left: Side, right: Side, same: bool) -> list[tuple[
                 if len(rows):
                     need = (longer - q + 1 - q * bound)[np.ix_(rows, columns)]
                     fit[np.ix_(rows, columns)] &= shared_counts([runs(0, i + m, q) for m in rows], [runs(1, j + n, q) for n in columns]) >= need
-            for m, n in zip(*np.nonzero(fit), strict=True):
-                if label[root_a[m]] != label[root_b[n]] and linked(a[m], b[n], int(bound[m, n])):
-                    found.append((roots[root_a[m]], roots[root_b[n]]))
-                    label[label == label[root_b[n]]] = label[root_a[m]]
+            rows, columns = np.nonzero(fit)
+            at_once = max(1, min(PAIRS, ROW_BITS // max(1, int(bound.max()))))
+            for start in range(0, len(rows), at_once):
+                m, n = rows[start : start + at_once], columns[start : start + at_once]
+                apart = label[root_a[m]] != label[root_b[n]]
+                m, n = m[apart], n[apart]
+                if not len(m):
+                    continue
+                if longer[m, n].max() <= LONG:
+                    ok = within([a[k] for k in m], [b[k] for k in n], bound[m, n])
+                else:
+                    ok = np.array([linked(a[k], b[l], int(bound[k, l])) for k, l in zip(m, n, strict=True)])
+                for k, l in zip(m[ok], n[ok], strict=True):
+                    if label[root_a[k]] != label[root_b[l]]:
+                        found.append((roots[root_a[k]], roots[root_b[l]]))
+                        label[label == label[root_b[l]]] = label[root_a[k]]
     return found
 
 

@@ -113,3 +113,25 @@ def test_each_pair_is_judged_in_one_group():
         for j in range(i):
             one, other = (([bytes([k])], [short[k]], sketches[k : k + 1]) for k in (i, j))
             assert sum(len(near_dup.block_links(s, one, other, False)) for s in set(sketches.ravel())) == 1
+
+
+@pytest.mark.parametrize("n, kinds", [(5, 3), (40, 4), (158, 2), (165, 1000), (400, 50), (700, 1000)])
+def test_alignments_of_many_pairs_at_once(n, kinds):
+    """Pairs around the bound, whose bits fill one 64-bit word or several, against the alignment of one pair."""
+    rng = random.Random(n * kinds)
+    left, right = [], []
+    while len(left) < 60:
+        a = [rng.randrange(kinds) for _ in range(rng.randint(max(1, n - n // 10), n))]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) * 3 // 10))):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.randrange(kinds)] * rng.randint(0, 2)
+            b = b or [0]
+        if abs(len(a) - len(b)) <= int(0.2 * max(len(a), len(b))):
+            left.append(np.array(a, np.uint32)), right.append(np.array(b, np.uint32))
+    bounds = np.array([int(0.2 * max(len(a), len(b))) for a, b in zip(left, right, strict=True)])
+    want = [bool(lev(a.tolist(), b.tolist()) <= k) for a, b, k in zip(left, right, bounds, strict=True)]
+    assert near_dup.within(left, right, bounds).tolist() == want
+    assert near_dup.within(left[::-1], right[::-1], bounds[::-1]).tolist() == want[::-1]
+    assert [near_dup.linked(a, b, int(k)) for a, b, k in zip(left, right, bounds, strict=True)] == want
+    assert near_dup.within(left[:1], right[:1], bounds[:1]).tolist() == want[:1]
